@@ -102,10 +102,10 @@ def align(original: Column, anonymized: Column) -> Column:
 
 def values_by_type(aligned: DataFrame, key: list[str], order: list[str], column: str = "aligned") -> DataFrame:
     """(key, type, placeholder, n, value): the first recovered value of each placeholder."""
-    rows = aligned.select(*key, *[c for c in order if c not in key], F.posexplode(F.col(column)["items"]).alias("i", "x"))
-    first = F.min_by(F.struct("x.value"), F.struct(*order, "i"))
+    rows = aligned.select(*key, *[c for c in order if c not in key], F.posexplode(F.col(column)["items"]).alias("__i", "__x"))
+    first = F.min_by(F.struct("__x.value"), F.struct(*order, "__i"))
     return (
-        rows.groupBy(*key, F.col("x.type").alias("type"), F.col("x.placeholder").alias("placeholder"))
+        rows.groupBy(*key, F.col("__x.type").alias("type"), F.col("__x.placeholder").alias("placeholder"))
         .agg(first.alias("v"))
         .select(
             *key,

@@ -24,6 +24,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running_counts(items: Column) -> Column:
+    """For each element, how many equal ones there are up to it; few distinct values assumed."""
+
+    def build(kinds: Column) -> Column:
+        start = F.struct(
+            F.transform(kinds, lambda k: F.lit(0)).cast("array<int>").alias("seen"), F.array().cast("array<int>").alias("out")
+        )
+
+        def step(acc: Column, x: Column) -> Column:
+            def count(at: Column) -> Column:
+                n = F.get(acc["seen"], at) + 1
+                seen = F.transform(acc["seen"], lambda c, i: F.when(i == at, c + 1).otherwise(c))
+                return F.struct(seen.alias("seen"), F.concat(acc["out"], F.array(n)).alias("out"))
+
+            return let((F.array_position(kinds, x) - 1).cast("int"), count)
+
+        return F.aggregate(items, start, step, lambda acc: acc["out"])
+
+    return let(F.array_distinct(items), build)
+
+
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushframe.functions.spans import find_spans, splice, value_of
-from hushframe.functions.text import let
+from hushframe.functions.text import let, running_counts
 
 _SEP = "\x00"
 REDACTED = "[REDACTED]"
@@ -35,20 +35,19 @@ def number_keys(keys: Column) -> Column:
     """array<struct<key,label,value,n,placeholder>>: first-seen numbering per label."""
 
     def number(distinct: Column) -> Column:
-        def entry(k: Column, i: Column) -> Column:
-            def made(label: Column) -> Column:
-                n = F.size(F.filter(distinct, lambda x, j: (j <= i) & (_label(x) == label)))
-                return F.struct(
-                    k.alias("key"),
-                    label.alias("label"),
-                    F.substring(k, F.length(label) + 2, F.length(k)).alias("value"),
-                    n.alias("n"),
-                    F.concat(F.lit("["), label, F.lit("_"), n.cast("string"), F.lit("]")).alias("placeholder"),
-                )
-
-            return let(_label(k), made)
-
-        return F.transform(distinct, entry)
+        def build(labels: Column) -> Column:
+            return F.zip_with(distinct, F.zip_with(labels, running_counts(labels), lambda x, n: F.struct(x.alias("label"), n.alias("n"))), entry)
+
+        def entry(k: Column, x: Column) -> Column:
+            return F.struct(
+                k.alias("key"),
+                x["label"].alias("label"),
+                F.substring(k, F.length(x["label"]) + 2, F.length(k)).alias("value"),
+                x["n"].alias("n"),
+                F.concat(F.lit("["), x["label"], F.lit("_"), x["n"].cast("string"), F.lit("]")).alias("placeholder"),
+            )
+
+        return let(F.transform(distinct, _label), build)
 
     return let(F.array_distinct(keys), number)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.functions.spans import SPAN, no_spans, span
-from hushframe.functions.text import WHITESPACE, let
+from hushframe.functions.text import WHITESPACE, let, running_counts
 
 Model = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -224,52 +224,64 @@ ENTITY = "struct<text:string,label:string,start_token:int,end_token:int,prefix:s
 
 
 def bio_entities(tokens: Column, tags: Column, punctuation: str = ENTITY_PUNCTUATION) -> Column:
-    """Entities of a tagged token array: ``B-x`` opens, only ``I-x`` right after extends."""
-    run = "struct<label:string,a:int,b:int>"
+    """Entities of a tagged token array: ``B-x`` opens, only ``I-x`` right after extends.
+
+    One pass over the tokens; an open entity carries its own words.
+    """
+    run = "struct<label:string,a:int,b:int,ws:array<string>>"
     start = F.struct(F.array().cast(f"array<{run}>").alias("out"), F.lit(None).cast(run).alias("cur"))
 
     def flush(acc: Column) -> Column:
         return F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"])))
 
+    def made(label: Column, a: Column, b: Column, ws: Column) -> Column:
+        return F.struct(label.alias("label"), a.alias("a"), b.alias("b"), ws.alias("ws")).cast(run)
+
     def step(acc: Column, t: Column) -> Column:
         cur, tag, i = acc["cur"], t["tag"], t["i"]
         extends = F.coalesce(tag == F.concat(F.lit("I-"), cur["label"]), F.lit(False))
-        opened = F.struct(F.substring(tag, F.lit(3), F.length(tag)).alias("label"), i.alias("a"), (i + 1).alias("b")).cast(run)
-        longer = F.struct(cur["label"].alias("label"), cur["a"].alias("a"), (i + 1).alias("b")).cast(run)
+        opened = made(F.substring(tag, F.lit(3), F.length(tag)), i, i + 1, F.array(t["w"]))
+        longer = made(cur["label"], cur["a"], i + 1, F.concat(cur["ws"], F.array(t["w"])))
         return F.struct(
             F.when(extends, acc["out"]).otherwise(flush(acc)).alias("out"),
             F.when(extends, longer).when(tag.startswith("B-"), opened).otherwise(F.lit(None).cast(run)).alias("cur"),
         )
 
-    tagged = F.transform(tags, lambda t, i: F.struct(t.alias("tag"), i.alias("i")))
     punct = F.lit(punctuation)
 
     def entity(r: Column) -> Column:
-        def from_words(ws: Column) -> Column:
+        ws, n = r["ws"], F.size(r["ws"])
+
+        def trim_head(bare: Column) -> Column:
             first = F.get(ws, F.lit(0))
-            bare = F.ltrim(first, punct)
-            prefix = F.when(F.length(bare) > 0, F.left(first, F.length(first) - F.length(bare))).otherwise("")
-            head = F.when(F.length(bare) > 0, bare).otherwise(first)
-            single = F.size(ws) == 1
-            last = F.when(single, head).otherwise(F.element_at(ws, -1))
-            cut = F.rtrim(last, punct)
-            suffix = F.when(F.length(cut) > 0, F.substring(last, F.length(cut) + 1, F.length(last))).otherwise("")
-            tail = F.when(F.length(cut) > 0, cut).otherwise(last)
-            inner = F.when(single, F.array(tail)).otherwise(
-                F.concat(F.array(head), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0))), F.array(tail))
-            )
-            return F.struct(
-                F.array_join(inner, " ").alias("text"),
-                r["label"].alias("label"),
-                r["a"].alias("start_token"),
-                r["b"].alias("end_token"),
-                prefix.alias("prefix"),
-                suffix.alias("suffix"),
-            ).cast(ENTITY)
+            solid = F.length(bare) > 0
+            head = F.when(solid, bare).otherwise(first)
+            prefix = F.when(solid, F.left(first, F.length(first) - F.length(bare))).otherwise("")
 
-        return let(F.slice(tokens, r["a"] + 1, r["b"] - r["a"]), from_words)
+            def trim_tail(last: Column) -> Column:
+                cut = F.rtrim(last, punct)
+                tail = F.when(F.length(cut) > 0, cut).otherwise(last)
+                inner = F.when(n == 1, F.array(tail)).otherwise(
+                    F.concat(F.array(head), F.slice(ws, F.lit(2), F.greatest(n - 2, F.lit(0))), F.array(tail))
+                )
+                return F.struct(
+                    F.array_join(inner, " ").alias("text"),
+                    r["label"].alias("label"),
+                    r["a"].alias("start_token"),
+                    r["b"].alias("end_token"),
+                    prefix.alias("prefix"),
+                    F.substring(last, F.length(tail) + 1, F.length(last)).alias("suffix"),
+                ).cast(ENTITY)
 
-    return F.transform(F.aggregate(tagged, start, step, flush), entity)
+            return let(F.when(n == 1, head).otherwise(F.element_at(ws, -1)), trim_tail)
+
+        return let(F.ltrim(F.get(ws, F.lit(0)), punct), trim_head)
+
+    def over(tagged_by: Column) -> Column:
+        rows = F.transform(tokens, lambda w, i: F.struct(w.alias("w"), F.get(tagged_by, i).alias("tag"), i.alias("i")))
+        return F.transform(F.aggregate(rows, start, step, flush), entity)
+
+    return let(tags, over)
 
 
 def entity_map(df: DataFrame, key: list[str], entities: str = "entities") -> DataFrame:
@@ -281,40 +293,50 @@ def entity_map(df: DataFrame, key: list[str], entities: str = "entities") -> Dat
     )
 
 
-def _mask(tokens: Column, entities: Column, name: Callable[[Column, Column], Column]) -> Column:
-    def build(es: Column) -> Column:
-        def piece(e: Column, i: Column) -> Column:
-            begin = F.when(i == 0, F.lit(0)).otherwise(F.get(es, i - 1)["end_token"])
-            shown = F.concat(e["prefix"], F.lit("["), name(e, i), F.lit("]"), e["suffix"])
-            return F.concat(F.slice(tokens, begin + 1, e["start_token"] - begin), F.array(shown))
+def _mask(tokens: Column, entities: Column, names: Column) -> Column:
+    """Tokens joined by a space, each entity shown once by its name (``names`` runs beside ``entities``).
+
+    ``cover`` tells for every token which entity starts there (its index), or -1
+    for none and -2 for the inside of one, so the text is walked once.
+    """
+
+    def build(es: Column, labels: Column) -> Column:
+        def reach(e: Column, j: Column) -> Column:
+            begin = F.when(j == 0, F.lit(0)).otherwise(F.get(es, j - 1)["end_token"])
+            return F.concat(
+                F.array_repeat(F.lit(-1), e["start_token"] - begin),
+                F.array(j),
+                F.array_repeat(F.lit(-2), e["end_token"] - e["start_token"] - 1),
+            )
 
-        last = F.coalesce(F.element_at(es, -1)["end_token"], F.lit(0))
-        rest = F.slice(tokens, last + 1, F.greatest(F.size(tokens) - last, F.lit(0)))
-        return F.when(F.size(es) == 0, F.array_join(tokens, " ")).otherwise(
-            F.array_join(F.concat(F.flatten(F.transform(es, piece)), rest), " ")
+        shown = F.transform(
+            es, lambda e, j: F.concat(e["prefix"], F.lit("["), F.get(labels, j), F.lit("]"), e["suffix"])
         )
 
-    return let(entities, build)
+        def walk(cover: Column, texts: Column) -> Column:
+            def word(w: Column, i: Column) -> Column:
+                at = F.coalesce(F.get(cover, i), F.lit(-1))
+                return F.when(at == -1, w).when(at >= 0, F.get(texts, at))
+
+            return F.array_join(F.transform(tokens, word), " ")
+
+        return let(F.flatten(F.transform(es, reach)), lambda cover: let(shown, lambda texts: walk(cover, texts)))
+
+    return let(entities, lambda es: let(names, lambda labels: build(es, labels)))
 
 
 def mask_labels(tokens: Column, entities: Column) -> Column:
     """Entities become ``[LABEL]``; tokens are joined by one space."""
-    return _mask(tokens, entities, lambda e, i: e["label"])
+    return _mask(tokens, entities, F.transform(entities, lambda e: e["label"]))
 
 
 def indexed_names(entities: Column) -> Column:
     """``LABEL:n`` per entity, n counting occurrences of the label in the text."""
-    return let(
-        entities,
-        lambda es: F.transform(
-            es,
-            lambda e, i: F.concat(
-                e["label"],
-                F.lit(":"),
-                F.size(F.filter(es, lambda o, j: (j <= i) & (o["label"] == e["label"]))).cast("string"),
-            ),
-        ),
-    )
+
+    def build(labels: Column) -> Column:
+        return F.zip_with(labels, running_counts(labels), lambda x, n: F.concat(x, F.lit(":"), n.cast("string")))
+
+    return let(F.transform(entities, lambda e: e["label"]), build)
 
 
 def mask_ids(tokens: Column, entities: Column) -> Column:
@@ -322,7 +344,7 @@ def mask_ids(tokens: Column, entities: Column) -> Column:
     return let(
         indexed_names(entities),
         lambda names: F.struct(
-            _mask(tokens, entities, lambda e, i: F.get(names, i)).alias("anonymized_text"),
+            _mask(tokens, entities, names).alias("anonymized_text"),
             F.map_from_arrays(names, F.transform(entities, lambda e: e["text"])).alias("entities"),
         ),
     )

@@ -367,9 +367,13 @@ def response_texts(wire: Column, response: Column) -> Column:
 
 def rehydrate(wire: Column, response: Column, mapping: Column) -> Column:
     """array<struct<anonymized, original>> of a response's texts with the request's own map."""
-    return F.transform(
-        response_texts(wire, response),
-        lambda t: F.struct(t.alias("anonymized"), restore_row(t, mapping).alias("original")),
+    return restore_texts(response_texts(wire, response), mapping)
+
+
+def restore_texts(texts: Column, mapping: Column) -> Column:
+    return let(
+        mapping,
+        lambda m: F.transform(texts, lambda t: F.struct(t.alias("anonymized"), restore_row(t, m).alias("original"))),
     )
 
 
@@ -385,7 +389,8 @@ def with_facts(requests: DataFrame) -> DataFrame:
     """Request rows plus kind, conversation_id, model, source, tokens and segments."""
     df = parsed(requests)
     wire, body = F.col("wire_format"), F.col("json")
-    reply = F.try_parse_json(F.col("response"))
+    df = df.withColumn("reply_json", F.try_parse_json(F.col("response")))
+    reply = F.col("reply_json")
     header = F.col("source_header") if "source_header" in df.columns else F.lit(None).cast("string")
     return df.select(
         *requests.columns,
