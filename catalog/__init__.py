@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("detection", "transform")
+AREAS = ("detection", "transform", "audit", "conversations")
 
 
 def load() -> None:

@@ -53,14 +53,14 @@ def pseudonymize(
     ``key`` is unique per row. Only (key, index, label, value) of the spans meets
     the vault; a row's placeholders come back as one small array.
     """
-    s = F.col("s")
-    values = df.select(*key, F.col(scope).alias("scope"), F.col(text).alias("__t"), F.posexplode(spans).alias("i", "s")).select(
-        *key, "scope", "i", s["label"].alias("label"), value_of(F.col("__t"), s).alias("value")
+    s = F.col("__s")
+    values = df.select(*key, F.col(scope).alias("scope"), F.col(text).alias("__t"), F.posexplode(spans).alias("__i", "__s")).select(
+        *key, "scope", "__i", s["label"].alias("label"), value_of(F.col("__t"), s).alias("value")
     )
     named = lookup(values, vault, ["scope", "label", "value"], "placeholder")
     per_row = named.groupBy(*key).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("i", "placeholder"))), lambda p: p["placeholder"]
+            F.array_sort(F.collect_list(F.struct("__i", "placeholder"))), lambda p: p["placeholder"]
         ).alias("__names")
     )
     return (

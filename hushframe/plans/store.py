@@ -80,22 +80,25 @@ def to_audit(records: DataFrame) -> Audit:
 def append_audit(a: Audit, path: str, batch: str | None = None) -> None:
     """Append three tables under ``path``, each in folders ``batch=…``.
 
-    A batch that is written again replaces its own folders and no others, so a
-    retried micro-batch leaves one copy. Interactions are further cut by day for
-    pruning.
+    A batch that is written again replaces its own folder and no others, so a
+    retried micro-batch leaves one copy. Rows are laid out by time (children by
+    their interaction), so that file and row-group statistics prune date filters
+    and look-ups without one small file per day.
     """
     batch = batch or uuid.uuid4().hex
-    created = a.interaction.withColumn("batch", F.lit(batch)).withColumn("day", F.to_date("created_at"))
     frames = {
-        "interaction": (created, ["batch", "day"]),
-        "detection": (a.detection.withColumn("batch", F.lit(batch)), ["batch"]),
-        "interaction_text": (a.text.withColumn("batch", F.lit(batch)), ["batch"]),
+        "interaction": (a.interaction, ["created_at", "id"]),
+        "detection": (a.detection, ["interaction_id", "id"]),
+        "interaction_text": (a.text, ["interaction_id", "seq"]),
     }
-    for name, (df, parts) in frames.items():
+    for name, (df, order) in frames.items():
         (
-            df.write.mode("overwrite")
+            df.repartitionByRange(*order)
+            .sortWithinPartitions(*order)
+            .withColumn("batch", F.lit(batch))
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*parts)
+            .partitionBy("batch")
             .parquet(f"{path}/{name}")
         )
 
@@ -105,7 +108,7 @@ def read_audit(spark: SparkSession, path: str) -> Audit:
     frames = []
     for name, ddl in TABLES.items():
         raw = spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}")
-        frames.append(evolve(raw.drop("batch", "day"), ddl))
+        frames.append(evolve(raw.drop("batch"), ddl))
     return Audit(*frames)
 
 

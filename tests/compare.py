@@ -18,6 +18,9 @@ TABLES = (
 ).split()
 
 
+SPARK_SECONDS: dict[str, float] = {}
+
+
 def connect(sf_dir: str):
     import duckdb
 
@@ -43,8 +46,10 @@ def rows_of(names, rows):
 
 def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None):
     """None if equal (or unchecked), else what differs."""
+    began = time.time()
     df = fn(spark, sf_dir)
     got = rows_of(df.columns, df.collect())
+    SPARK_SECONDS[name] = time.time() - began
     if sql is None:
         return None, len(got)
     cur = con.execute(sql)
@@ -78,7 +83,7 @@ def main() -> None:
             diff, n = f"{type(e).__name__}: {str(e)[:500]}", -1
         bad += diff is not None
         state = "FAIL" if diff else ("ok" if name in sqls else "rows")
-        print(f"{state:5}{name:32}{n:8} rows {time.time() - t:6.1f}s {diff or ''}", flush=True)
+        print(f"{state:5}{name:32}{n:8} rows {SPARK_SECONDS.get(name, 0):6.1f}s spark {time.time() - t:6.1f}s all {diff or ''}", flush=True)
     print("failed:", bad)
 
 
