@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("detection", "transform", "audit", "conversations")
+AREAS = ("detection", "transform", "audit", "conversations", "streams")
 
 
 def load() -> None:

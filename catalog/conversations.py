@@ -15,6 +15,7 @@ from hushframe.operators.redact import json_escape
 from hushframe.plans import imports as im
 from hushframe.plans.language import detect_language, fit_profiles
 from hushframe.plans.live import judge_hooks, judge_requests
+from hushframe.session import materialize
 from hushframe.sources import requests as rq
 from hushframe.sources import transcripts as tr
 
@@ -207,7 +208,7 @@ def forwarded(spark, sf):
     FROM base LEFT JOIN fv ON fv.scope = doc_id AND fv.n = 1 WHERE NOT refused AND counts <> ''""",
 )
 def rehydrated(spark, sf):
-    rows = judge_requests(request_log(spark, sf), word_spans, policy(LIVE_POLICY))
+    rows = materialize(judge_requests(request_log(spark, sf), word_spans, policy(LIVE_POLICY)).select("request_id", "texts"))
     return rows.select("request_id", F.explode("texts").alias("t")).filter("t.category = 'assistant'").select("request_id", "t.original")
 
 

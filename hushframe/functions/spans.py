@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hushframe.functions.text import WHITESPACE, let
+from hushframe.functions.text import WHITESPACE, before, islands, let, pick, scan
 
 SPAN = "struct<start:int,end:int,label:string,score:double>"
 SPANS = f"array<{SPAN}>"
@@ -72,29 +72,31 @@ def find_spans(
 ) -> Column:
     """All non-overlapping matches, left to right, as spans with exact offsets.
 
-    ``regexp_replace`` marks the matches, ``split`` cuts at the marks, and a fold
-    over the pieces adds up their lengths. ``accept`` keeps a match by its text;
+    ``regexp_replace`` marks the matches, ``split`` cuts at the marks, and the
+    lengths of the pieces add up to offsets. ``accept`` keeps a match by its text;
     ``gate`` is a cheap test that must hold before the regex is tried at all.
     """
 
+    def inside(p: Column) -> Column:
+        return F.instr(p, CLOSE)
+
+    def cut(pieces: Column) -> Column:
+        ends = scan(pieces, 0, lambda at, p: at + F.length(p) - F.when(inside(p) > 0, 1).otherwise(0))
+
+        def build(ends: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:
+                hit = inside(p) > 1
+                if accept is not None:
+                    hit = hit & accept(F.left(p, inside(p) - 1))
+                at = before(ends, i, 0)
+                return F.when(hit, span(at, at + inside(p) - 1, label))
+
+            return F.filter(F.transform(pieces, one), lambda s: s.isNotNull())
+
+        return let(ends, build)
+
     def walk(marked: Column) -> Column:
-        start = F.struct(F.lit(0).alias("pos"), no_spans().alias("out"))
-
-        def step(acc: Column, piece: Column) -> Column:
-            cut = F.instr(piece, CLOSE)
-            hit = cut > 1
-            if accept is not None:
-                hit = hit & accept(F.left(piece, cut - 1))
-            found = F.array(span(acc["pos"], acc["pos"] + cut - 1, label))
-            return F.struct(
-                (acc["pos"] + F.length(piece) - F.when(cut > 0, 1).otherwise(0)).alias("pos"),
-                F.when(hit, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"),
-            )
-
-        return F.when(
-            marked.contains(OPEN),
-            F.aggregate(F.split(marked, OPEN), start, step, lambda acc: acc["out"]),
-        ).otherwise(no_spans())
+        return F.when(marked.contains(OPEN), let(F.split(marked, OPEN), cut)).otherwise(no_spans())
 
     found = let(mark(text, pattern), walk)
     if gate is not None:
@@ -136,16 +138,12 @@ def _sorted_by(spans: Column, *keys: Callable[[Column], Column]) -> Column:
 
 def keep_disjoint(ordered: Column) -> Column:
     """Left-to-right pass over ordered spans: skip one that starts before the last kept end."""
-    start = F.struct(F.lit(-1).alias("end"), no_spans().alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        take = s["start"] >= acc["end"]
-        return F.struct(
-            F.when(take, s["end"]).otherwise(acc["end"]).alias("end"),
-            F.when(take, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"),
-        )
+    def build(ss: Column) -> Column:
+        ends = scan(ss, -1, lambda end, s: F.when(s["start"] >= end, s["end"]).otherwise(end))
+        return let(ends, lambda e: F.filter(ss, lambda s, i: s["start"] >= before(e, i, -1)))
 
-    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
+    return let(ordered, build)
 
 
 def dedupe_spans(text: Column, spans: Column, threshold: float = 0.5) -> Column:
@@ -181,29 +179,23 @@ def resolve_spans(*arrays: Column) -> Column:
     tagged = "array<struct<plain:int,w:int,sc:double,ord:int,s:" + SPAN + ">>"
 
     def clusters(items: Column) -> Column:
-        by_start = F.array_sort(
-            F.transform(items, lambda t: F.struct(t["s"]["start"].alias("a"), t["ord"].alias("o"), t.alias("t")))
-        )
-        start = F.struct(
-            F.array().cast(f"array<{tagged}>").alias("done"),
-            F.array().cast(tagged).alias("cur"),
-            F.lit(-1).alias("end"),
+        by_start = F.transform(
+            F.array_sort(
+                F.transform(items, lambda t: F.struct(t["s"]["start"].alias("a"), t["ord"].alias("o"), t.alias("t")))
+            ),
+            lambda x: x["t"],
         )
 
-        def step(acc: Column, x: Column) -> Column:
-            t = x["t"]
-            joins = t["s"]["start"] < acc["end"]
-            return F.struct(
-                F.when(joins | (F.size(acc["cur"]) == 0), acc["done"])
-                .otherwise(F.concat(acc["done"], F.array(acc["cur"])))
-                .alias("done"),
-                F.when(joins, F.concat(acc["cur"], F.array(t))).otherwise(F.array(t)).alias("cur"),
-                F.when(joins, F.greatest(acc["end"], t["s"]["end"])).otherwise(t["s"]["end"]).alias("end"),
-            )
+        def split(ts: Column) -> Column:
+            reach = scan(ts, -1, lambda end, t: F.greatest(end, t["s"]["end"]))
 
-        return F.aggregate(
-            by_start, start, step, lambda acc: F.concat(acc["done"], F.array(acc["cur"]))
-        )
+            def parts(ends: Column) -> Column:
+                apart = islands(ts, lambda t, i: t["s"]["start"] >= before(ends, i, -1))
+                return F.transform(apart, lambda r: pick(ts, r))
+
+            return let(reach, parts)
+
+        return let(by_start, split)
 
     def best_of(cluster: Column) -> Column:
         return F.aggregate(
@@ -267,32 +259,21 @@ def expand_spans(text: Column, spans: Column) -> Column:
 
 def merge_spans(spans: Column) -> Column:
     """Join spans that overlap or touch; first label, lowest score."""
-    nothing = F.lit(None).cast(SPAN)
-    start = F.struct(no_spans().alias("out"), nothing.alias("cur"))
-
-    def step(acc: Column, s: Column) -> Column:
-        cur = acc["cur"]
-        joins = cur.isNotNull() & (s["start"] <= cur["end"])
-        joined = span(
-            cur["start"],
-            F.greatest(cur["end"], s["end"]),
-            cur["label"],
-            F.least(cur["score"], s["score"]),
-        )
-        return F.struct(
-            F.when(joins | cur.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(cur))).alias("out"),
-            F.when(joins, joined).otherwise(s).alias("cur"),
-        )
 
-    ordered = _sorted_by(spans, lambda s: s["start"], lambda s: s["end"])
-    return F.aggregate(
-        ordered,
-        start,
-        step,
-        lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(acc["cur"]))
-        ),
-    )
+    def build(ss: Column) -> Column:
+        reach = scan(ss, -1, lambda end, s: F.greatest(end, s["end"]))
+
+        def joined(ends: Column) -> Column:
+            def one(r: Column) -> Column:
+                first = F.get(ss, r["a"])
+                low = F.array_min(F.transform(pick(ss, r), lambda s: s["score"]))
+                return span(first["start"], F.get(ends, r["b"] - 1), first["label"], low)
+
+            return F.transform(islands(ss, lambda s, i: (i == 0) | (s["start"] > before(ends, i, -1))), one)
+
+        return let(reach, joined)
+
+    return let(_sorted_by(spans, lambda s: s["start"], lambda s: s["end"]), build)
 
 
 def splice(text: Column, spans: Column, replacement: Callable[[Column, Column], Column]) -> Column:

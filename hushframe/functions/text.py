@@ -24,25 +24,80 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# Length of the blocks a scan works in: a fold copies what it carries at every
+# step, so what grows is cut into short pieces.
+SCAN_BLOCK = 128
+
+
+def scan(items: Column, init: int, step: Callable[[Column, Column], Column]) -> Column:
+    """array<int>: the state after each element of ``items``, starting from ``init``."""
+
+    def carry(state: Column, out: Column) -> Column:
+        return F.struct(state.cast("int").alias("state"), out.alias("out"))
+
+    none = F.array().cast("array<int>")
+
+    def inner(state: Column, block: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            return let(step(acc["state"], x).cast("int"), lambda v: carry(v, F.concat(acc["out"], F.array(v))))
+
+        return F.aggregate(block, carry(state, none), one)
+
+    def outer(xs: Column) -> Column:
+        last = F.floor((F.size(xs) - 1) / SCAN_BLOCK).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK))
+        )
+
+        def join(acc: Column, block: Column) -> Column:
+            return let(inner(acc["state"], block), lambda r: carry(r["state"], F.concat(acc["out"], r["out"])))
+
+        folded = F.aggregate(blocks, carry(F.lit(init), none), join, lambda acc: acc["out"])
+        return F.when(F.size(xs) > 0, folded).otherwise(none)
+
+    return let(items, outer)
+
+
+def before(states: Column, i: Column, init: int) -> Column:
+    """The scan state before element ``i``."""
+    return F.when(i == 0, F.lit(init)).otherwise(F.get(states, i - 1))
+
+
+def islands(items: Column, heads: Callable[[Column, Column], Column]) -> Column:
+    """array<struct<a,b>>: index ranges [a, b) that begin where ``heads(element, index)`` holds."""
+    places = F.filter(F.transform(items, lambda x, i: F.when(heads(x, i), i)), lambda i: i.isNotNull())
+    return let(
+        places,
+        lambda hs: F.transform(
+            hs, lambda h, j: F.struct(h.alias("a"), F.coalesce(F.get(hs, j + 1), F.size(items)).alias("b"))
+        ),
+    )
+
+
+def pick(items: Column, r: Column) -> Column:
+    """The elements of an index range [a, b)."""
+    return F.transform(F.sequence(r["a"], r["b"] - 1), lambda x: F.get(items, x))
+
+
 def running_counts(items: Column) -> Column:
     """For each element, how many equal ones there are up to it; few distinct values assumed."""
 
-    def build(kinds: Column) -> Column:
-        start = F.struct(
-            F.transform(kinds, lambda k: F.lit(0)).cast("array<int>").alias("seen"), F.array().cast("array<int>").alias("out")
+    def build(xs: Column) -> Column:
+        per_kind = F.transform(
+            F.array_distinct(xs),
+            lambda k: F.struct(k.alias("k"), scan(xs, 0, lambda n, x: n + F.when(x == k, 1).otherwise(0)).alias("n")),
         )
 
-        def step(acc: Column, x: Column) -> Column:
-            def count(at: Column) -> Column:
-                n = F.get(acc["seen"], at) + 1
-                seen = F.transform(acc["seen"], lambda c, i: F.when(i == at, c + 1).otherwise(c))
-                return F.struct(seen.alias("seen"), F.concat(acc["out"], F.array(n)).alias("out"))
-
-            return let((F.array_position(kinds, x) - 1).cast("int"), count)
+        def number(kinds: Column) -> Column:
+            names = F.transform(kinds, lambda r: r["k"])
+            return let(
+                names,
+                lambda ks: F.transform(xs, lambda x, i: F.get(F.get(kinds, (F.array_position(ks, x) - 1).cast("int"))["n"], i)),
+            )
 
-        return F.aggregate(items, start, step, lambda acc: acc["out"])
+        return let(per_kind, number)
 
-    return let(F.array_distinct(items), build)
+    return let(items, build)
 
 
 def strip(text: Column) -> Column:
@@ -61,6 +116,16 @@ def is_blank(text: Column) -> Column:
     return F.length(strip(F.coalesce(text, F.lit("")))) == 0
 
 
+def once(value: Column) -> Column:
+    """A costly column that later projections must not copy into themselves.
+
+    Catalyst merges neighbouring projections by copying expressions into their
+    users; it leaves non-deterministic ones alone, so a test that is always true
+    keeps the value where it is. Filters do not move below it either: filter first.
+    """
+    return F.when(F.rand() >= 0, value)
+
+
 def any_of(*conditions: Column) -> Column:
     out = F.lit(False)
     for i, condition in enumerate(conditions):

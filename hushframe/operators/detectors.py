@@ -37,10 +37,14 @@ def with_spans(df: DataFrame, detect: Detector, text: str = "text", name: str =
 
 
 def explode_spans(df: DataFrame, text: str = "text", spans: str = "spans", keep: list[str] | None = None) -> DataFrame:
-    """One row per span: the kept columns, start, end, label, score, value."""
+    """One row per span: the kept columns, start, end, label, score, value.
+
+    The outer form of explode is used since the plain one makes Catalyst test
+    ``size(spans) > 0`` first, which would run the detection twice.
+    """
     keep = keep if keep is not None else [c for c in df.columns if c not in (text, spans)]
     s = F.col("s")
-    return df.select(*keep, F.col(text).alias("__text"), F.explode(spans).alias("s")).select(
+    return df.select(*keep, F.col(text).alias("__text"), F.explode_outer(spans).alias("s")).filter(s["start"].isNotNull()).select(
         *keep,
         s["start"].alias("start"),
         s["end"].alias("end"),

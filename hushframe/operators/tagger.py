@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.spans import SPAN, no_spans, span
-from hushframe.functions.text import WHITESPACE, let, running_counts
+from hushframe.functions.spans import span
+from hushframe.functions.text import WHITESPACE, islands, let, pick, running_counts
 
 Model = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -132,40 +132,22 @@ def word_runs(word_rows: DataFrame, key: list[str]) -> DataFrame:
     The words of one text come together in one row, as the spans they become do;
     their number is bounded by that text.
     """
-    run = "struct<start:int,end:int,label:string,total:double,n:int>"
-    start = F.struct(F.array().cast(f"array<{run}>").alias("out"), F.lit(None).cast(run).alias("cur"))
-
-    def flush(acc: Column) -> Column:
-        return F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"])))
-
-    def make(s: Column, e: Column, label: Column, total: Column, n: Column) -> Column:
-        return F.struct(
-            s.cast("int").alias("start"), e.cast("int").alias("end"), label.alias("label"), total.alias("total"), n.cast("int").alias("n")
-        ).cast(run)
-
-    def step(acc: Column, w: Column) -> Column:
-        cur = acc["cur"]
-        same = F.coalesce(cur["label"] == w["label"], F.lit(False))
-        return F.struct(
-            F.when(same, acc["out"]).otherwise(flush(acc)).alias("out"),
-            F.when(same, make(cur["start"], w["end"], cur["label"], cur["total"] + w["score"], cur["n"] + 1))
-            .when(w["label"].isNotNull(), make(w["start"], w["end"], w["label"], w["score"], F.lit(1)))
-            .otherwise(F.lit(None).cast(run))
-            .alias("cur"),
-        )
+
+    def runs(ws: Column) -> Column:
+        def new(w: Column, i: Column) -> Column:
+            return (i == 0) | ~w["label"].eqNullSafe(F.get(ws, i - 1)["label"])
+
+        def one(r: Column) -> Column:
+            mine = pick(ws, r)
+            total = F.aggregate(mine, F.lit(0.0), lambda acc, w: acc + w["score"])
+            first, last = F.get(ws, r["a"]), F.get(ws, r["b"] - 1)
+            return span(first["start"], last["end"], first["label"], total / (r["b"] - r["a"]))
+
+        tagged = F.filter(islands(ws, new), lambda r: F.get(ws, r["a"])["label"].isNotNull())
+        return F.transform(tagged, one)
 
     ordered = F.array_sort(F.collect_list(F.struct("start", "end", "label", "score")))
-    return (
-        word_rows.groupBy(*key)
-        .agg(ordered.alias("__w"))
-        .select(
-            *key,
-            F.transform(
-                F.aggregate("__w", start, step, flush),
-                lambda r: span(r["start"], r["end"], r["label"], r["total"] / r["n"]),
-            ).alias("spans"),
-        )
-    )
+    return word_rows.groupBy(*key).agg(ordered.alias("__w")).select(*key, let(F.col("__w"), runs).alias("spans"))
 
 
 # --- whole-word chunks and BIO tags -----------------------------------------
@@ -226,31 +208,13 @@ ENTITY = "struct<text:string,label:string,start_token:int,end_token:int,prefix:s
 def bio_entities(tokens: Column, tags: Column, punctuation: str = ENTITY_PUNCTUATION) -> Column:
     """Entities of a tagged token array: ``B-x`` opens, only ``I-x`` right after extends.
 
-    One pass over the tokens; an open entity carries its own words.
+    A token continues the one before when it is ``I-x`` after ``B-x`` or ``I-x``;
+    runs of continuing tokens whose head is a ``B-`` are the entities.
     """
-    run = "struct<label:string,a:int,b:int,ws:array<string>>"
-    start = F.struct(F.array().cast(f"array<{run}>").alias("out"), F.lit(None).cast(run).alias("cur"))
-
-    def flush(acc: Column) -> Column:
-        return F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"])))
-
-    def made(label: Column, a: Column, b: Column, ws: Column) -> Column:
-        return F.struct(label.alias("label"), a.alias("a"), b.alias("b"), ws.alias("ws")).cast(run)
-
-    def step(acc: Column, t: Column) -> Column:
-        cur, tag, i = acc["cur"], t["tag"], t["i"]
-        extends = F.coalesce(tag == F.concat(F.lit("I-"), cur["label"]), F.lit(False))
-        opened = made(F.substring(tag, F.lit(3), F.length(tag)), i, i + 1, F.array(t["w"]))
-        longer = made(cur["label"], cur["a"], i + 1, F.concat(cur["ws"], F.array(t["w"])))
-        return F.struct(
-            F.when(extends, acc["out"]).otherwise(flush(acc)).alias("out"),
-            F.when(extends, longer).when(tag.startswith("B-"), opened).otherwise(F.lit(None).cast(run)).alias("cur"),
-        )
-
     punct = F.lit(punctuation)
 
-    def entity(r: Column) -> Column:
-        ws, n = r["ws"], F.size(r["ws"])
+    def entity(label: Column, r: Column, ws: Column) -> Column:
+        n = F.size(ws)
 
         def trim_head(bare: Column) -> Column:
             first = F.get(ws, F.lit(0))
@@ -266,7 +230,7 @@ def bio_entities(tokens: Column, tags: Column, punctuation: str = ENTITY_PUNCTUA
                 )
                 return F.struct(
                     F.array_join(inner, " ").alias("text"),
-                    r["label"].alias("label"),
+                    label.alias("label"),
                     r["a"].alias("start_token"),
                     r["b"].alias("end_token"),
                     prefix.alias("prefix"),
@@ -277,11 +241,20 @@ def bio_entities(tokens: Column, tags: Column, punctuation: str = ENTITY_PUNCTUA
 
         return let(F.ltrim(F.get(ws, F.lit(0)), punct), trim_head)
 
-    def over(tagged_by: Column) -> Column:
-        rows = F.transform(tokens, lambda w, i: F.struct(w.alias("w"), F.get(tagged_by, i).alias("tag"), i.alias("i")))
-        return F.transform(F.aggregate(rows, start, step, flush), entity)
+    def over(ts: Column, words: Column) -> Column:
+        def new(tag: Column, i: Column) -> Column:
+            previous = F.get(ts, i - 1)
+            continues = tag.startswith("I-") & previous.rlike("^[BI]-") & (_kind(tag) == _kind(previous))
+            return (i == 0) | ~F.coalesce(continues, F.lit(False))
+
+        opened = F.filter(islands(ts, new), lambda r: F.get(ts, r["a"]).startswith("B-"))
+        return F.transform(opened, lambda r: let(pick(words, r), lambda ws: entity(_kind(F.get(ts, r["a"])), r, ws)))
+
+    return let(tags, lambda ts: let(tokens, lambda words: over(ts, words)))
+
 
-    return let(tags, over)
+def _kind(tag: Column) -> Column:
+    return F.substring(tag, F.lit(3), F.length(tag))
 
 
 def entity_map(df: DataFrame, key: list[str], entities: str = "entities") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.spans import choose_spans, find_spans, splice, value_of
+from hushframe.functions.text import once
 from hushframe.operators.detectors import Detector
 from hushframe.operators.redact import json_escape, json_unescape
 from hushframe.operators.row_vault import pseudonymize_segments
@@ -31,13 +32,13 @@ def scrub_payloads(payloads: DataFrame, detect: Detector, body: str = "body") ->
     """
     b = F.col(body)
     leaves = payloads.withColumn(
-        "__leaves", find_spans(b, STRING_VALUE, "", gate=b.contains("stringValue"))
+        "__leaves", once(find_spans(b, STRING_VALUE, "", gate=b.contains("stringValue")))
     ).withColumn("__texts", F.transform("__leaves", lambda s: json_unescape(value_of(b, s))))
     found = leaves.withColumn(
         "__segments",
         F.transform("__texts", lambda t: F.struct(t.alias("text"), choose_spans(detect(t)).alias("spans"))),
     )
-    done = found.withColumn("__done", pseudonymize_segments(F.col("__segments")))
+    done = found.withColumn("__done", once(pseudonymize_segments(F.col("__segments"))))
     return done.select(
         *[c for c in payloads.columns if c != body],
         splice(b, F.col("__leaves"), lambda s, i: json_escape(F.get(F.col("__done")["texts"], i))).alias(body),

@@ -54,7 +54,7 @@ def pseudonymize(
     the vault; a row's placeholders come back as one small array.
     """
     s = F.col("__s")
-    values = df.select(*key, F.col(scope).alias("scope"), F.col(text).alias("__t"), F.posexplode(spans).alias("__i", "__s")).select(
+    values = df.select(*key, F.col(scope).alias("scope"), F.col(text).alias("__t"), F.posexplode_outer(spans).alias("__i", "__s")).filter("__s is not null").select(
         *key, "scope", "__i", s["label"].alias("label"), value_of(F.col("__t"), s).alias("value")
     )
     named = lookup(values, vault, ["scope", "label", "value"], "placeholder")
@@ -81,8 +81,8 @@ def restore(
     tokens = df.filter(F.col(text).contains("[")).select(
         *key,
         F.col(scope).alias("scope"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(PLACEHOLDER), F.lit(0)))).alias("placeholder"),
-    )
+        F.explode_outer(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(PLACEHOLDER), F.lit(0)))).alias("placeholder"),
+    ).filter(F.col("placeholder").isNotNull())
     known = lookup(tokens, vault, ["scope", "placeholder"], "value").filter(F.col("value").isNotNull())
     maps = known.groupBy(*key).agg(
         F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("__map")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.spans import choose_spans
-from hushframe.functions.text import is_blank, let
+from hushframe.functions.text import is_blank, let, once
 from hushframe.operators.detectors import Detector
 from hushframe.operators.policy import blocked_counts, hook_verdict
 from hushframe.operators.row_vault import pseudonymize_row, pseudonymize_segments, value_map
@@ -46,21 +46,23 @@ def judge_requests(
     df = with_facts(requests)
     df = df.withColumn(
         "segments",
-        F.transform(
-            "segments",
-            lambda g: F.struct(
-                g["author"].alias("author"), g["novel"].alias("novel"), g["text"].alias("text"), choose_spans(detect(g["text"])).alias("spans")
-            ),
+        once(
+            F.transform(
+                "segments",
+                lambda g: F.struct(
+                    g["author"].alias("author"), g["novel"].alias("novel"), g["text"].alias("text"), choose_spans(detect(g["text"])).alias("spans")
+                ),
+            )
         ),
     )
     fresh = F.filter("segments", lambda g: g["novel"] & g["author"].isin("user", "tool"))
     df = df.withColumn("fresh", fresh)
-    df = df.withColumn("forward", pseudonymize_segments(F.col("segments"), action))
-    df = df.withColumn("saved", pseudonymize_segments(F.col("fresh")))
+    df = df.withColumn("forward", once(pseudonymize_segments(F.col("segments"), action)))
+    df = df.withColumn("saved", once(pseudonymize_segments(F.col("fresh"))))
     every = F.flatten(F.transform("segments", lambda g: g["spans"]))
     df = df.withColumn("blocked", blocked_counts(every, action))
     refused = F.size("blocked") > 0
-    df = df.withColumn("answer", restore_texts(F.col("reply"), value_map(F.col("forward.vault"))))
+    df = df.withColumn("answer", once(restore_texts(F.col("reply"), value_map(F.col("forward.vault")))))
 
     captured = let(
         F.col("saved.texts"),
@@ -92,7 +94,7 @@ def judge_requests(
         F.when(~refused, F.col("usage.output_tokens")).alias("output_tokens"),
         F.col("saved.counts").alias("entity_counts"),
         "conversation_id",
-        texts.alias("texts"),
+        once(texts).alias("texts"),
         refused.alias("refused"),
         "blocked",
         F.when(~refused, F.col("forward.texts")).alias("forwarded"),
@@ -115,8 +117,8 @@ def judge_hooks(
     conversation had findings (looked up in ``history``).
     """
     df = hook_events(events)
-    df = df.withColumn("spans", choose_spans(detect(F.col("text")))).withColumn(
-        "done", pseudonymize_row(F.col("text"), F.col("spans"))
+    df = df.withColumn("spans", once(choose_spans(detect(F.col("text"))))).withColumn(
+        "done", once(pseudonymize_row(F.col("text"), F.col("spans")))
     )
     if history is not None:
         df = df.join(current_exchange_pii(history), "conversation_id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.plans.audit import Audit, all_interactions, expose, filter_interactions, nested_detections
+from hushframe.session import materialize
 
 INTERACTION = (
     "id BIGINT, created_at TIMESTAMP, source STRING, wire_format STRING, kind STRING, model STRING, policy STRING, "
@@ -33,8 +34,10 @@ def to_audit(records: DataFrame) -> Audit:
     A record: id, source, wire_format, model, entity_counts, and optionally kind,
     policy, language, input_tokens, output_tokens, conversation_id, created_at,
     texts (array of category/original/anonymized in capture order). Zero counts
-    are dropped and a missing time is now.
+    are dropped and a missing time is now. Records are written once (checkpoint),
+    as three tables read them.
     """
+    records = materialize(records)
     have = set(records.columns)
 
     def col(name: str, kind: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.spans import find_spans
-from hushframe.functions.text import any_of, let, starts_with_any, strip
+from hushframe.functions.text import any_of, let, once, starts_with_any, strip
 from hushframe.operators.redact import JSON_STRING, json_unescape
 from hushframe.operators.row_vault import restore_row
 
@@ -101,7 +101,7 @@ def _all_strings(v: Column, make: Callable[[Column], Column]) -> Column:
 
 def parsed(requests: DataFrame, body: str = "body", name: str = "json") -> DataFrame:
     """Adds the body as a variant and keeps JSON objects only."""
-    return requests.withColumn(name, F.try_parse_json(F.col(body))).filter(_is(F.col(name), "OBJECT"))
+    return requests.withColumn(name, once(F.try_parse_json(F.col(body)))).filter(_is(F.col(name), "OBJECT"))
 
 
 # --- authorship -------------------------------------------------------------
@@ -153,84 +153,90 @@ def _blocks(content: Column, make: Callable[[Column], Column]) -> Column:
     )
 
 
-def _anthropic_blocks(content: Column, text_fn, data_fn, depth: int = 3) -> Column:
-    """Text, tool results (nested) and tool inputs of a content value; signed blocks are skipped."""
+def _by_role(role: Column, novel: Column) -> Callable[[Column], Column]:
+    """Text of a message: the user's (unless injected), a tool's, or the machine's."""
+
+    def make(t: Column) -> Column:
+        mine = role.isin("user", "tool")
+        author = F.when((role == "user") & ~is_injected(t), "user").when(role == "tool", "tool").otherwise("machine")
+        return _segment(author, mine & novel, t)
+
+    return make
+
+
+def _role(m: Column) -> Column:
+    return F.coalesce(_text(m, "$.role"), F.lit(""))
+
+
+def _anthropic_content(content: Column, text_fn, data_fn) -> Column:
+    """Text, tool results and tool inputs of a content value; signed blocks are skipped."""
 
     def block(b: Column) -> Column:
-        kind = F.coalesce(_text(b, "$.type"), F.lit(""))
-        out = _one(text_fn(_text(b, "$.text")))
-        if depth > 0:
-            inner = _anthropic_blocks(_at(b, "$.content"), data_fn, data_fn, depth - 1)
-            out = F.concat(out, F.when(kind == "tool_result", inner).otherwise(_none()))
-        out = F.concat(out, F.when(kind == "tool_use", _all_strings(_at(b, "$.input"), _machine)).otherwise(_none()))
-        return F.when(kind.isin(*SIGNED_BLOCKS), _none()).otherwise(out)
+        def by_kind(kind: Column) -> Column:
+            own = _one(text_fn(_text(b, "$.text")))
+            extra = (
+                F.when(kind == "tool_result", _blocks(_at(b, "$.content"), data_fn))
+                .when(kind == "tool_use", _all_strings(_at(b, "$.input"), _machine))
+                .otherwise(_none())
+            )
+            return F.when(kind.isin(*SIGNED_BLOCKS), _none()).otherwise(F.concat(own, extra))
+
+        return let(F.coalesce(_text(b, "$.type"), F.lit("")), by_kind)
 
     return F.when(_is(content, "STRING"), _one(text_fn(_text(content, "$")))).otherwise(
         F.flatten(F.transform(_list(content), block))
     )
 
 
-def _anthropic_segments(body: Column) -> Column:
-    def messages(items: Column) -> Column:
-        def with_last(last: Column) -> Column:
-            def message(m: Column, i: Column) -> Column:
-                new = i > last
-                user = _anthropic_blocks(_at(m, "$.content"), _user(new), _tool(new))
-                other = _anthropic_blocks(_at(m, "$.content"), _machine, _tool(new))
-                return F.when(F.coalesce(_text(m, "$.role") == "user", F.lit(False)), user).otherwise(other)
+def _each_message(items: Column, with_calls: bool, message: Callable[[Column, Column, Column], Column]) -> Column:
+    """Segments of all messages; ``message`` gets it, its role, and whether it is new."""
 
-            return F.flatten(F.transform(items, message))
+    def over(ms: Column) -> Column:
+        return let(
+            last_assistant(ms, with_calls),
+            lambda last: F.flatten(F.transform(ms, lambda m, i: let(_role(m), lambda role: message(m, role, i > last)))),
+        )
 
-        return let(last_assistant(items), with_last)
+    return let(items, over)
 
-    return F.concat(_blocks(_at(body, "$.system"), _machine), let(_list(body, "$.messages"), messages))
 
+def _anthropic_segments(body: Column) -> Column:
+    def message(m: Column, role: Column, new: Column) -> Column:
+        # this format has no tool role: only "user" is special here
+        speaker = F.when(role == "user", "user").otherwise("")
+        return _anthropic_content(_at(m, "$.content"), _by_role(speaker, new), _tool(new))
 
-def _chat_segments(body: Column) -> Column:
-    def messages(items: Column) -> Column:
-        def with_last(last: Column) -> Column:
-            def message(m: Column, i: Column) -> Column:
-                new, role, content = i > last, F.coalesce(_text(m, "$.role"), F.lit("")), _at(m, "$.content")
-                text = (
-                    F.when(role == "user", _blocks(content, _user(new)))
-                    .when(role == "tool", _blocks(content, _tool(new)))
-                    .otherwise(_blocks(content, _machine))
-                )
-                calls = F.transform(_list(m, "$.tool_calls"), lambda c: _text(c, "$.function.arguments"))
-                return F.concat(text, F.transform(F.filter(calls, lambda t: t.isNotNull()), _machine))
+    return F.concat(_blocks(_at(body, "$.system"), _machine), _each_message(_list(body, "$.messages"), False, message))
 
-            return F.flatten(F.transform(items, message))
 
-        return let(last_assistant(items), with_last)
+def _chat_segments(body: Column) -> Column:
+    def message(m: Column, role: Column, new: Column) -> Column:
+        calls = F.transform(_list(m, "$.tool_calls"), lambda c: _text(c, "$.function.arguments"))
+        return F.concat(
+            _blocks(_at(m, "$.content"), _by_role(role, new)), F.transform(F.filter(calls, lambda t: t.isNotNull()), _machine)
+        )
 
-    return let(_list(body, "$.messages"), messages)
+    return _each_message(_list(body, "$.messages"), False, message)
 
 
 def _responses_segments(body: Column) -> Column:
     given = _at(body, "$.input")
 
-    def messages(items: Column) -> Column:
-        def with_last(last: Column) -> Column:
-            def message(m: Column, i: Column) -> Column:
-                new, content = i > last, _at(m, "$.content")
-                kind = F.coalesce(_text(m, "$.type"), F.lit(""))
-                text = F.when(
-                    F.coalesce(_text(m, "$.role") == "user", F.lit(False)), _blocks(content, _user(new))
-                ).otherwise(_blocks(content, _machine))
-                extra = (
-                    F.when(kind == "function_call_output", _one(_tool(new)(_text(m, "$.output"))))
-                    .when(kind == "function_call", _one(_machine(_text(m, "$.arguments"))))
-                    .otherwise(_none())
-                )
-                return F.concat(text, extra)
-
-            return F.flatten(F.transform(items, message))
-
-        return let(last_assistant(items, with_calls=True), with_last)
+    def message(m: Column, role: Column, new: Column) -> Column:
+        kind = F.coalesce(_text(m, "$.type"), F.lit(""))
+        speaker = F.when(role == "user", "user").otherwise("")
+        extra = (
+            F.when(kind == "function_call_output", _one(_tool(new)(_text(m, "$.output"))))
+            .when(kind == "function_call", _one(_machine(_text(m, "$.arguments"))))
+            .otherwise(_none())
+        )
+        return F.concat(_blocks(_at(m, "$.content"), _by_role(speaker, new)), extra)
 
     return F.concat(
         _one(_machine(_text(body, "$.instructions"))),
-        F.when(_is(given, "STRING"), _one(_user(True)(_text(body, "$.input")))).otherwise(let(_list(given), messages)),
+        F.when(_is(given, "STRING"), _one(_user(True)(_text(body, "$.input")))).otherwise(
+            _each_message(_list(given), True, message)
+        ),
     )
 
 
@@ -246,8 +252,8 @@ def segments_of(wire: Column, body: Column) -> Column:
 
 def segments(requests: DataFrame, key: str = "request_id") -> DataFrame:
     """One row per segment: key, pos, author, novel, text."""
-    rows = parsed(requests).select(key, F.posexplode(segments_of(F.col("wire_format"), F.col("json"))).alias("pos", "g"))
-    return rows.select(key, "pos", "g.author", "g.novel", "g.text")
+    rows = parsed(requests).select(key, F.posexplode_outer(segments_of(F.col("wire_format"), F.col("json"))).alias("pos", "g"))
+    return rows.filter("g is not null").select(key, "pos", "g.author", "g.novel", "g.text")
 
 
 # --- request level facts ----------------------------------------------------
@@ -399,8 +405,8 @@ def with_facts(requests: DataFrame) -> DataFrame:
         F.coalesce(_at(body, "$.model", "string"), F.lit("unknown")).alias("model"),
         source_of(wire, header).alias("source"),
         usage_of(wire, reply).alias("usage"),
-        segments_of(wire, body).alias("segments"),
-        response_texts(wire, reply).alias("reply"),
+        once(segments_of(wire, body)).alias("segments"),
+        once(response_texts(wire, reply)).alias("reply"),
     )
 
 

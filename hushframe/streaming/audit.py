@@ -30,7 +30,7 @@ def start_request_audit(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        records = materialize(judge_requests(batch, detect, action, mode, save))
+        records = judge_requests(batch, detect, action, mode, save)
         append_audit(to_audit(records), path, batch=f"requests-{batch_id}")
 
     return (
