@@ -16,7 +16,17 @@ COVERS: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.
+
+    The driver writes one file with one row group, which a single task reads.
+    Text work is bound by CPU, so ``documents`` is spread over the cores while it
+    has fewer files than there are cores; a table of many files is left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def plain(df: DataFrame) -> DataFrame:
