@@ -529,7 +529,8 @@ def read_rollout_files(spark, sf):
     late = tr.list_sessions(spark, root, "b", since=datetime(2200, 1, 1, tzinfo=timezone.utc), files="part-*.txt")
     late = late.agg(F.count(F.lit(1)).alias("too_new"))
     seen = events.agg(F.count_if("opens").alias("prompts"), F.count("meta_id").alias("sessions"))
-    return seen.join(F.broadcast(late), F.lit(1) == F.lit(1))
+    both = seen.unionByName(late, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in ("prompts", "sessions", "too_new")])
 
 
 @query(

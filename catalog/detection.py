@@ -43,9 +43,12 @@ PHONE_SQL = found_sql(
 PHONE_OK = "length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 8 AND 15"
 
 # Texts with a made-up number at the end, for rules the documents have no hit for.
-IBAN_TEXT = F.concat(
-    "text", F.lit(" iban DE"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("37040044053201300"), (F.floor(F.col("doc_id") / 100) % 10).cast("string"), F.lit(" end")
-)
+def iban_text() -> Column:
+    d = F.col("doc_id")
+    check, last = F.lpad((d % 100).cast("string"), 2, "0"), (F.floor(d / 100) % 10).cast("string")
+    return F.concat("text", F.lit(" iban DE"), check, F.lit("37040044053201300"), last, F.lit(" end"))
+
+
 IBAN_SRC = "(SELECT doc_id, text || ' iban DE' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '37040044053201300' || (doc_id // 100 % 10) || ' end' AS text FROM documents)"
 IBAN_SQL = found_sql(IBAN_SRC, "doc_id", "text", r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{2,4}){3,8}", rf"^|[^{_W}]", rf"$|[^{_W}]", rf"^{_W} ")
 IBAN_OK = (
@@ -53,10 +56,14 @@ IBAN_OK = (
     "substr(replace(value, ' ', '')[5:] || replace(value, ' ', '')[:4], k, 1)) - 1 for k in range(1, length(replace(value, ' ', '')) + 1)], "
     "lambda acc, x: (acc * CASE WHEN x >= 10 THEN 100 ELSE 10 END + x) % 97) = 1"
 )
-SSN_TEXT = F.concat(
-    "text", F.lit(" ssn "), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("-"),
-    F.lpad((F.col("doc_id") % 50).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("doc_id") * 7 % 10000).cast("string"), 4, "0"),
-)
+
+
+def ssn_text() -> Column:
+    d = F.col("doc_id")
+    part = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    return F.concat("text", F.lit(" ssn "), part(d % 1000, 3), F.lit("-"), part(d % 50, 2), F.lit("-"), part(d * 7 % 10000, 4))
+
+
 SSN_SRC = (
     "(SELECT doc_id, text || ' ssn ' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || '-' || lpad((doc_id % 50)::VARCHAR, 2, '0') || '-' "
     "|| lpad((doc_id * 7 % 10000)::VARCHAR, 4, '0') AS text FROM documents)"
@@ -77,7 +84,7 @@ def detect_payment_cards(spark, sf):
 
 @query("detect_ibans", "DET-03", _sql(IBAN_SQL, IBAN_OK, "'BANK_ACCOUNT_IDENTIFIER'"))
 def detect_ibans(spark, sf):
-    return _rows(_docs(spark, sf, IBAN_TEXT), c.iban_spans)
+    return _rows(_docs(spark, sf, iban_text()), c.iban_spans)
 
 
 @query("detect_phones", "DET-04", _sql(PHONE_SQL, PHONE_OK, "'PHONE_NUMBER'"))
@@ -87,7 +94,7 @@ def detect_phones(spark, sf):
 
 @query("detect_ssns", "DET-05", _sql(SSN_SQL, SSN_OK, "'PERSON_IDENTIFIER'"))
 def detect_ssns(spark, sf):
-    return _rows(_docs(spark, sf, SSN_TEXT), c.ssn_spans)
+    return _rows(_docs(spark, sf, ssn_text()), c.ssn_spans)
 
 
 # --- credentials ------------------------------------------------------------
