@@ -48,15 +48,6 @@ def plan_token_windows(spark, sf):
     return t.plan_windows(docs, 512, 128).select("doc_id", "window_start")
 
 
-def _length_model():
-    """A stand-in model: logits are a fixed function of the token id."""
-
-    def model(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        return np.stack([(ids * (k + 2)) % 5 for k in range(3)], axis=-1).astype(np.float64)
-
-    return model
-
-
 _LOGIT = "[(id * 2) % 5, (id * 3) % 5, (id * 4) % 5]"
 
 
@@ -70,8 +61,12 @@ _LOGIT = "[(id * 2) % 5, (id * 3) % 5, (id * 4) % 5]"
     SELECT doc_id, ['O', 'B-NAME', 'I-NAME'][best] AS label, count(*) AS n, sum(round(score * 100000)::BIGINT)::BIGINT AS score FROM y GROUP BY 1, 2""",
 )
 def infer_token_windows(spark, sf):
+    def length_model():
+        """A stand-in model: logits are a fixed function of the token id."""
+        return lambda ids, mask: np.stack([(ids * (k + 2)) % 5 for k in range(3)], axis=-1).astype(np.float64)
+
     ids = _docs(spark, sf).select("doc_id", F.transform(t.tokens_of(F.col("text")), lambda w: F.length(w) + 3).alias("ids"))
-    preds = t.infer_windows(t.window_tokens(ids, 64, 16), _length_model, ["O", "B-NAME", "I-NAME"], ["doc_id"])
+    preds = t.infer_windows(t.window_tokens(ids, 64, 16), length_model, ["O", "B-NAME", "I-NAME"], ["doc_id"])
     return preds.groupBy("doc_id", "label").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("score") * 100000).cast("bigint")).alias("score")
     )
