@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,17 +49,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0][:n], out[1][:n]
 
 
-def window_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the slices ``values[s:e]`` of an unsigned 64-bit array, by one rolling prefix sum."""
+def slices(values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of (starts, ends) that gives 64-bit hashes of slices of an unsigned 64-bit array, by one rolling prefix sum."""
     up, down = _powers(len(values) + 1)
     prefix = np.zeros(len(values) + 1, _U)
     np.cumsum(values * up[:-1], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xA0761D6478BD642F))
+    return lambda starts, ends: mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xA0761D6478BD642F))
+
+
+def window_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return slices(values)(starts, ends)
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    return _BYTE[data]
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte slices ``data[s:e]``; equal bytes give equal hashes in any batch."""
-    return window_hashes(_BYTE[data], starts, ends)
+    return slices(_BYTE[data])(starts, ends)
 
 
 class Texts:

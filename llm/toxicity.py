@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentences are the instances, documents carry the labels.
 
-A sentence's score is a logistic function of its words; a document's score is the noisy-or of its sentences,
+A sentence's score is a logistic function of its words and of their first bytes (so that compounds of one stem count); a document's score is the noisy-or of its sentences,
 ``1 - prod(1 - p)``. Training sees document labels only and back-propagates through the noisy-or, so the blame settles on
 the sentences that explain the label; ``locate`` returns them. Scoring is one pass over whole texts without a shuffle.
 
@@ -19,17 +19,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.arrays import Texts, byte_hashes, lower_ascii, pieces
+from hushframe.session import materialize
+from llm.arrays import Texts, byte_values, lower_ascii, pieces, slices
 
 TOXIC_DOCS, CLEAN_DOCS = 4_000, 8_000
 MIN_DOCS = 4
 #: Words whose document counts differ between the classes by less than so many standard errors carry no weight.
-LEAST_Z = 4.0
+LEAST_Z = 5.0
+VOCABULARY = 20_000
+#: A sentence without any known word starts at this or less, so that length alone never makes a text toxic.
+LEAST_BIAS = -9.0
 ROUNDS = 150
 SENTENCE_ENDS = b".!?\n"
+#: Lengths in bytes of the word beginnings that are features beside the words.
+STEMS = (4, 5, 6, 7, 8)
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -62,17 +69,23 @@ EMPTY = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
 
 
 def sentences(texts: pa.Array) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts; word hashes and sentence numbers; of each sentence with a word: its text number and its last byte."""
+    """The texts; hashes of words and stems, and their sentence numbers; of each sentence with a word: its text number and
+    its last byte."""
     t = Texts(texts)
     solid = _IN_WORD[t.data]
     edge = np.diff(solid.astype(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    hashes = byte_hashes(lower_ascii(t.data), starts, ends)
+    values = slices(byte_values(lower_ascii(t.data)))
     stops = np.flatnonzero(_ENDS[t.data])  # each text ends with a line feed, so every sentence has its stop
     stop_of_word = np.searchsorted(stops, starts)
     used, number = np.unique(stop_of_word, return_inverse=True)
     last = stops[used]
-    return t, hashes, number, t.of(last), last
+    hashes, numbers = [values(starts, ends)], [number]
+    for n in STEMS:
+        longer = ends - starts > n
+        hashes.append(values(starts[longer], starts[longer] + n) ^ np.uint64(0x5851F42D4C957F2D))
+        numbers.append(number[longer])
+    return t, np.concatenate(hashes), np.concatenate(numbers), t.of(last), last
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -86,7 +99,7 @@ def train(word: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: n
     """
     docs = len(label)
     share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())) * docs
-    w, b = np.zeros(words), -5.0
+    w, b = np.zeros(words), LEAST_BIAS
     m, v = np.zeros(words + 1), np.zeros(words + 1)
     for step in range(1, rounds + 1):
         z = np.bincount(sentence, weights=w[word], minlength=len(document)) + b
@@ -96,7 +109,7 @@ def train(word: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: n
         grad = np.append(np.bincount(word, weights=dz[sentence], minlength=words) + 0.02 * w, dz.sum()) / docs
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, b = w - move[:-1], min(b - move[-1], -2.0)
+        w, b = w - move[:-1], min(b - move[-1], LEAST_BIAS)
     return w, float(b)
 
 
@@ -105,56 +118,91 @@ def learnable(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 5 != 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Model:
-    """Fit on at most ``toxic_docs`` + ``clean_docs`` labelled documents; only their word hashes come to the driver."""
+def _distinct(hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (hash, group) once, in order of hash."""
+    order = np.lexsort((of, hashes))
+    h, g = hashes[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    return h[new], g[new]
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    toxic: str = "toxic",
+    toxic_docs: int = TOXIC_DOCS,
+    clean_docs: int = CLEAN_DOCS,
+    vocabulary: int = VOCABULARY,
+) -> Model:
+    """Fit on at most ``toxic_docs`` + ``clean_docs`` labelled documents and ``vocabulary`` words and stems.
+
+    The words are counted and screened on the executors; the driver gets the vocabulary and, per sampled document, its
+    number of sentences and where vocabulary words stand.
+    """
     known = labels.select(labels[doc_id].cast("bigint").alias("id"), labels[toxic].cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("id").agg(F.max("y").alias("y")).where(learnable(F.col("id")))
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, toxic_docs), (0, clean_docs))]
     sample = picked[0].unionByName(picked[1])
     # at most toxic_docs + clean_docs rows of 12 bytes
-    rows = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].alias("text")).join(F.broadcast(sample), "id").select("y", "text")
+    rows = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                _, hashes, number, of, _ = sentences(part.column(1))
-                of_word = of[number] if len(number) else number
-                cut = np.searchsorted(of_word, np.arange(part.num_rows + 1))
+                y = part.column(1).to_numpy()
+                _, hashes, number, of, _ = sentences(part.column(2))
+                h, g = _distinct(hashes, of[number] if len(number) else number)
+                u, at = np.unique(h, return_inverse=True)
+                bad = np.bincount(at, weights=y[g], minlength=len(u)).astype(np.int64)
+                columns = [np.append(u, np.uint64(0)).view(np.int64), np.append(bad, y.sum()), np.append(np.bincount(at, minlength=len(u)), len(y))]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["h", "bad", "total"])
+
+    # hash 0 carries the numbers of documents
+    counts = rows.mapInArrow(count, "h bigint, bad bigint, total bigint").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("total").alias("total"))
+    counts = counts.where(F.col("total") >= MIN_DOCS)
+    counts = materialize(counts)
+    size = counts.where("h = 0").collect()
+    if not size or not 0 < size[0].bad < size[0].total:
+        return EMPTY
+    n, n_bad = size[0].total, size[0].bad
+    rate = F.col("total") / n
+    z = (F.col("bad") / n_bad - (F.col("total") - F.col("bad")) / (n - n_bad)) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / n_bad + 1 / (n - n_bad)))
+    chosen = counts.where("h <> 0").withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "h").limit(vocabulary)
+    words = np.sort(chosen.select("h").toArrow()["h"].to_numpy().view(np.uint64))
+    if not len(words):
+        return EMPTY
+    lexicon = docs.sparkSession.sparkContext.broadcast(Model(words, np.arange(1, len(words) + 1, dtype=np.float64), 0.0))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                _, hashes, number, of, _ = sentences(part.column(2))
+                at = lexicon.value.of(hashes).astype(np.int64)
+                hit = np.flatnonzero(at)
+                pair = np.unique(number[hit] * (len(words) + 1) + at[hit])
+                sentence, word = pair // (len(words) + 1), pair % (len(words) + 1) - 1
+                cut = np.searchsorted(of[sentence], np.arange(part.num_rows + 1))
+                of_doc = np.searchsorted(of, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                        pa.array([number[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+                        part.column(1),
+                        pa.array(np.diff(of_doc), pa.int64()),
+                        pa.array([(sentence[a:b] - of_doc[i]).tolist() for i, (a, b) in enumerate(zip(cut, cut[1:]))], pa.list_(pa.int64())),
+                        pa.array([word[a:b].tolist() for a, b in zip(cut, cut[1:])], pa.list_(pa.int64())),
                     ],
-                    ["y", "words", "sentences"],
+                    ["id", "y", "n", "sentences", "words"],
                 )
 
-    table = rows.mapInArrow(work, "y int, words binary, sentences binary").toArrow()
-    if not table.num_rows:
-        return EMPTY
-    label = table["y"].to_numpy()
-    if len(np.unique(label)) < 2:
-        return EMPTY
-    word = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
-    number = [np.unique(np.frombuffer(x, np.int32), return_inverse=True)[1] for x in table["sentences"].to_pylist()]
-    del table
-    sizes = np.array([n.max() + 1 if len(n) else 0 for n in number])
-    sentence = np.concatenate([n + k for n, k in zip(number, np.cumsum(sizes) - sizes)])
-    document = np.repeat(np.arange(len(label)), sizes)
-    hashes, index = np.unique(np.concatenate(word), return_inverse=True)
-    seen = np.unique(index.astype(np.int64) * len(label) + document[sentence])
-    total = np.bincount(seen // len(label), minlength=len(hashes))
-    bad = np.bincount(seen // len(label), weights=label[seen % len(label)], minlength=len(hashes))
-    n, n_bad = len(label), int(label.sum())
-    rate = total / n
-    z = (bad / n_bad - (total - bad) / (n - n_bad)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n_bad + 1 / (n - n_bad)))
-    common = (total >= MIN_DOCS) & (np.abs(z) >= LEAST_Z)
-    used = common[index]
-    renumber = np.cumsum(common) - 1
-    # a word counts once a sentence
-    pair = np.unique(sentence[used].astype(np.int64) * int(common.sum() or 1) + renumber[index[used]])
-    weights, bias = train(pair % int(common.sum() or 1), pair // int(common.sum() or 1), document, label, int(common.sum()))
-    return Model(hashes[common], weights, bias)
+    found = rows.mapInArrow(find, "id bigint, y int, n bigint, sentences array<bigint>, words array<bigint>").toArrow().sort_by("id").combine_chunks()
+    sizes = found["n"].to_numpy()
+    lengths = pc.list_value_length(found["words"]).to_numpy()
+    sentence = pc.list_flatten(found["sentences"]).to_numpy() + np.repeat(np.cumsum(sizes) - sizes, lengths)
+    weights, bias = train(pc.list_flatten(found["words"]).to_numpy(), sentence, np.repeat(np.arange(len(sizes)), sizes), found["y"].to_numpy(), len(words))
+    return Model(words, weights, bias)
 
 
 def sentence_scores(texts: pa.Array, model: Model) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
