@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import quality, toxicity
+from llm import jaccard, quality, toxicity
 
-MODULES = (quality, toxicity)
+MODULES = (quality, jaccard, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
