@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import jaccard, quality, toxicity
+from llm import jaccard, language_id, packing, quality, toxicity
 
-MODULES = (quality, jaccard, toxicity)
+MODULES = (quality, jaccard, packing, language_id, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
