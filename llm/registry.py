@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import jaccard, language_id, packing, quality, sharding, toxicity
+from llm import jaccard, language_id, nearest, packing, quality, sharding, toxicity
 
-MODULES = (quality, jaccard, packing, language_id, sharding, toxicity)
+MODULES = (quality, jaccard, packing, language_id, sharding, toxicity, nearest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
