@@ -33,7 +33,7 @@ from hushframe.session import materialize
 SAMPLE = 50_000
 BRANCHES = 12
 #: A node with at most so many sampled vectors is a leaf.
-LEAF = 400
+LEAF = 150
 TRIALS = 60
 RECALL = 0.97
 BLOCK = 4096
