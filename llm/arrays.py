@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once inside a task. A longer text is a piece of its own; nothing is cut.
-PIECE_BYTES = 3 << 20
+PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
