@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import extract, jaccard, language_id, nearest, packing, quality, sharding, toxicity
+from llm import extract, jaccard, language_id, nearest, packing, quality, sharding, substrings, toxicity
 
-MODULES = (quality, extract, jaccard, packing, language_id, sharding, toxicity, nearest)
+MODULES = (quality, extract, jaccard, substrings, packing, language_id, sharding, toxicity, nearest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
