@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from hushframe.session import materialize
 from llm.arrays import Texts, lower_ascii, byte_values, slices, window_hashes
@@ -197,9 +198,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose component has a lesser id, and without repeats of an id that has shingles."""
+    """``docs`` without the rows whose component has a lesser id, and with each (id, text) once. Null ids stay."""
     gone = classes(docs, text, doc_id).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, docs[doc_id].cast("bigint") == gone["doc_id"], "left_anti")
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("same"))
+    same = W.partitionBy("doc_id", "same").orderBy("same")
+    kept = left.join(gone, "doc_id", "left_anti").withColumn("__n", F.row_number().over(same)).where("__n = 1")
+    return kept.select("row.*")
 
 
 _SQL = r"""

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from llm import extract, jaccard, language_id, nearest, packing, quality, sharding, substrings, toxicity
 
 MODULES = (quality, extract, jaccard, substrings, packing, language_id, sharding, toxicity, nearest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
+    return {name: fn for module in MODULES for name, fn in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for module in MODULES for name, text in module.SQL.items() if text}
+    known = {name: text for module in MODULES for name, text in module.SQL.items()} | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in known.items() if text}

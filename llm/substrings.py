@@ -316,6 +316,37 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return full.mapInArrow(work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the text; all rows and columns stay (a text may become empty).
+
+    A cut may fall inside a character; what is left of it goes too, so the text stays valid UTF-8. A column ``n_chars``
+    is set to the text's new length in characters.
+    """
+    body, whole, spans = cuts(docs, text, doc_id)
+    full = body.select("key", "row").join(whole, "key", "left").join(spans, "key", "left").select("row.*", F.struct("whole", "spans"))
+    at, names = docs.columns.index(text), docs.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns[:-1])
+            texts = []
+            for t, x in zip(columns[at], batch.columns[-1]):
+                data = t.as_py()
+                if data is not None:
+                    raw = data.encode()
+                    found = x.as_py()
+                    a, b = _spans(len(raw), found["spans"], bool(found["whole"]))
+                    data = _kept(raw, a, b).decode("utf-8", "ignore") if len(a) else data
+                texts.append(data)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            if "n_chars" in names:
+                n = names.index("n_chars")
+                columns[n] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+
+    return full.mapInArrow(work, docs.schema)
+
+
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
