@@ -7,9 +7,10 @@
 3. Prefixes: the shingles that stand first in the order (document count, then hash). Postings of prefix shingles meet by
    shingle; pairs pass the length and the positional filter, are made distinct, and are verified once: first the suffix
    filter on one split, then the whole intersection.
-4. A posting list is not turned into all its pairs. Rounds of stars (each list against its least node) are verified first
-   and joined into components; then only pairs between a list's largest component and the rest are left, which the last
-   round verifies in full. Pairs inside a component are already linked, so no class is lost.
+4. A posting list is not turned into all its pairs. While lists are costly, rounds of stars (each node against the least
+   node it shares a list with) are verified and joined into components; then only pairs between a list's largest component
+   and the rest are left, which the last round verifies in full. Pairs inside a component are linked already, so no class is
+   lost.
 
 Defined results: null, empty and wordless texts have ``n_shingles`` 0 and are their own component; fewer than five words
 are one shingle; equal ids and repeated rows are rows of their own and meet like any others; a component's name is its
@@ -19,8 +20,6 @@ least id that is not null (null if it has none); other columns play no part, wha
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +34,9 @@ from llm.meeting import bucket_bits, meet, pack, unpack
 WORDS = 5
 #: Two texts link when 100 * intersection >= LEAST * union.
 LEAST = 75
-MAX_STARS = 6
+#: Stars go on while the last round would make more than so many pairs for each row of an open list.
+FEW = 16
+MAX_STARS = 8
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,41 +146,49 @@ def similar(sets: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / LEAST)))
     post = materialize(_postings(nodes).withColumn("band", band))
 
-    comp = nodes.select("node", F.col("node").alias("comp")).limit(0)
-    links: list[DataFrame] = []
+    comp = materialize(nodes.select("node", F.col("node").alias("comp")))
     tested = None
-    left = None
-    for round_ in range(MAX_STARS):
-        mine = post.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # lists that still hold two components
-        open_ = mine.groupBy("h", "band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("node").alias("pivot"), F.min("pos").alias("p")).where("c0 <> c1")
-        stars = open_.alias("s").join(mine.alias("m"), ["h", "band"]).where("m.node <> s.pivot AND (s.c0 <> m.comp OR s.pivot <> m.comp)")
+    for _ in range(MAX_STARS):
+        mine = post.join(comp, "node")
+        left, cost, rows = _open_lists(mine)
+        if cost <= FEW * rows:
+            break
+        # every node against the least pivot of its open lists: a pair for each node at most
+        bands = mine.groupBy("h", "band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("node", "comp")).alias("p")).where("c0 <> c1")
+        stars = mine.join(bands, ["h", "band"]).where("comp <> p.comp").groupBy("node").agg(F.min("p.node").alias("pivot"))
         stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        if tested is not None:
-            stars = stars.join(tested, ["a", "b"], "left_anti")
-        stars = materialize(stars)
+        stars = materialize(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
         tested = stars if tested is None else tested.unionByName(stars)
         found = materialize(verify(stars, nodes))
-        links.append(found)
-        if found.limit(1).count():
-            comp = components(reduce(DataFrame.unionByName, links))
-        elif round_:
-            break
-        # how many pairs the last round would make: a list's rows outside its largest component times all its rows
-        mine = post.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        by = mine.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k"))
-        left = by.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all")).where("all > top.k")
-        left = materialize(left.select("h", F.col("top.comp").alias("main"), F.col("all"), (F.col("all") - F.col("top.k")).alias("few")))
-        cost, rows = left.agg(F.sum(F.col("all") * F.col("few")), F.sum("all")).first()
-        if (cost or 0) <= 64 * (rows or 0):
+        if not found.limit(1).count():
             break
-    mine = post.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        comp = _joined(comp, found)
+    mine = post.join(comp, "node")
+    left, _, _ = _open_lists(mine)
     rest = mine.join(left.select("h", "main"), "h")
     few = rest.where("comp <> main").alias("x")
     pairs = few.join(rest.alias("y"), F.col("x.h") == F.col("y.h")).where(F.col("x.comp") != F.col("y.comp")).where(_pair("x", "y") & _positional("x", "y"))
-    pairs = _distinct_pairs(pairs, "x", "y").join(tested, ["a", "b"], "left_anti")
-    links.append(verify(pairs, nodes))
-    return components(reduce(DataFrame.unionByName, links))
+    pairs = _distinct_pairs(pairs, "x", "y")
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    return _joined(comp, materialize(verify(pairs, nodes)))
+
+
+def _open_lists(mine: DataFrame) -> tuple[DataFrame, int, int]:
+    """The lists that hold several components, with the largest; the pairs the last round would make of them; their rows."""
+    by = mine.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k"))
+    left = by.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all")).where("all > top.k")
+    left = materialize(left.select("h", F.col("top.comp").alias("main"), F.col("all"), (F.col("all") - F.col("top.k")).alias("few")))
+    cost, rows = left.agg(F.sum(F.col("all") * F.col("few")), F.sum("all")).first()
+    return left, cost or 0, rows or 0
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp) after the components that ``links`` connect are one."""
+    side = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    edges = links.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    renamed = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    return materialize(comp.join(renamed, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")))
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
