@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from llm import extract, jaccard, language_id, nearest, packing, quality, sharding, substrings, toxicity
+from llm import extract, jaccard, language_id, nearest, packing, pieces_scan, quality, sharding, substrings, toxicity
 
-MODULES = (quality, extract, jaccard, substrings, packing, language_id, sharding, toxicity, nearest)
+MODULES = (quality, pieces_scan, extract, jaccard, substrings, packing, language_id, sharding, toxicity, nearest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -382,3 +382,66 @@ def test_pipeline(spark, sf):
         assert len(cut[i].text) == cut[i].n_chars
     out = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in out.collect()} == set(cut)
+
+
+# ---- 2
+
+
+def test_pieces_equal_the_library_as_unigram(tmp_path):
+    """The same pieces and scores as a unigram model of the library give the same ids."""
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+    from llm import pieces_scan
+
+    path = public_tokenizers.path(pieces_scan.VOCABULARY)
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(Path(path).read_bytes())
+    proto.trainer_spec.model_type = 1
+    keep = [p for p in proto.pieces if not (p.type == 1 and p.score < -1e8)]  # such scores drown all others in single precision
+    del proto.pieces[:]
+    proto.pieces.extend(keep)
+    (tmp_path / "m.model").write_bytes(proto.SerializeToString())
+    library = SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    mine = pieces_scan.Pieces(str(tmp_path / "m.model"))
+    for text in ("Hello world", "naïve façade, über 123.45!", "日本語のテキスト and ゼ", words(5, 30), "a\nb\n\nc", "***$$$ x"):
+        assert list(mine.encode(pieces_scan.prepare(text))) == library.encode(text), text
+        assert mine.decode(library.encode(text)) == text
+
+
+def test_chunked_scan_equals_one_pass():
+    import public_tokenizers
+
+    from llm import pieces_scan
+
+    m = pieces_scan.Pieces(public_tokenizers.path(pieces_scan.VOCABULARY))
+    texts = [words(1, 200), "x" * 300 + words(2, 40).replace(" ", ""), "日本" * 150, "a  b   c " * 60, "line\n" * 70]
+    for text in texts:
+        body = pieces_scan.prepare(text)
+        for size in (33, 64, 101):
+            left = m.longest - 1
+            begins = list(range(0, len(body) - left - 1, size))
+            parts = [body[max(0, a - left) : (a + size if a != begins[-1] else len(body))] for a in begins]
+            lefts = [min(left, a) for a in begins]
+            states = pieces_scan.boundary_states([m.matrix(t, n) for t, n in zip(parts, lefts)])
+            ids = [i for t, n, a, b in zip(parts, lefts, states, states[1:]) for i in m.backtrace(t, n, a, b)]
+            value = lambda ids: sum(m.score.get(m.texts[i], 0) for i in ids)
+            one = m.encode(body)
+            assert value(ids) == value(one) and m.decode(ids) == text
+    rng = np.random.default_rng(0)
+    many = [rng.integers(-9, 0, (4, 4)).astype(float) for _ in range(13)]
+    want = many[0]
+    for got, x in zip(pieces_scan.scan(many)[1:], many[1:]):
+        want = pieces_scan.product(want, x)
+        assert (got == want).all()
+
+
+def test_sentencepiece_round_trip(spark, docs, empty):
+    from llm import pieces_scan
+
+    want = {(i, t or "") for i, t in awkward()}
+    for chunk in (300, pieces_scan.CHUNK):
+        both = pieces_scan.decode(pieces_scan.encode(docs, chunk=chunk))
+        got = [(r.doc_id, r.decoded) for r in both.collect()]
+        assert set(got) == want and len(got) == len(awkward())
+    assert pieces_scan.encode(empty).count() == 0
