@@ -8,7 +8,7 @@
    shingle; pairs pass the length and the positional filter, are made distinct, and are verified once: first the suffix
    filter on one split, then the whole intersection.
 4. A posting list is not turned into all its pairs. While lists are costly, rounds of stars (each node against the least
-   node it shares a list with) are verified and joined into components; then only pairs between a list's largest component
+   node of most of its lists) are verified and joined into components; then only pairs between a list's largest component
    and the rest are left, which the last round verifies in full. Pairs inside a component are linked already, so no class is
    lost.
 
@@ -35,8 +35,8 @@ WORDS = 5
 #: Two texts link when 100 * intersection >= LEAST * union.
 LEAST = 75
 #: Stars go on while the last round would make more than so many pairs for each row of an open list.
-FEW = 16
-MAX_STARS = 8
+FEW = 64
+MAX_STARS = 6
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +153,10 @@ def similar(sets: DataFrame) -> DataFrame:
         left, cost, rows = _open_lists(mine)
         if cost <= FEW * rows:
             break
-        # every node against the least pivot of its open lists: a pair for each node at most
+        # every node against the pivot that most of its open lists have: a pair for each node at most
         bands = mine.groupBy("h", "band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("node", "comp")).alias("p")).where("c0 <> c1")
-        stars = mine.join(bands, ["h", "band"]).where("comp <> p.comp").groupBy("node").agg(F.min("p.node").alias("pivot"))
+        shared = mine.join(bands, ["h", "band"]).where("comp <> p.comp").groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
+        stars = shared.groupBy("node").agg(F.max(F.struct("k", "pivot"))["pivot"].alias("pivot"))
         stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         stars = materialize(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
         tested = stars if tested is None else tested.unionByName(stars)

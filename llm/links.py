@@ -17,10 +17,10 @@ def components(edges: DataFrame) -> DataFrame:
     clean = edges.where("a <> b").select("a", "b")
     both = materialize(clean.unionByName(clean.selectExpr("b AS a", "a AS b")).distinct())
     label = materialize(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
+    # ``least`` is read twice below; its exchanges are the same and are reused
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         least = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        least = materialize(least)
         jump = least.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         after = least.join(jump, "comp", "left").select("node", F.least("comp", "further").alias("comp"), "old")
         after = materialize(after)
