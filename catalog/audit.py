@@ -187,7 +187,7 @@ def filter_by_entity(spark, sf):
 @query(
     "search_texts",
     "AUD-06",
-    sql(f"SELECT {FLAT_SQL} FROM inter WHERE EXISTS (SELECT 1 FROM txt WHERE interaction_id = inter.id AND (original ILIKE '%[word_1] _n%' OR anonymized ILIKE '%[word_1] _n%'))"),
+    sql(f"SELECT {FLAT_SQL} FROM inter WHERE EXISTS (SELECT 1 FROM txt WHERE interaction_id = inter.id AND (translate(original, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%[word_1] _n%' OR translate(anonymized, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%[word_1] _n%'))"),
 )
 def search_texts(spark, sf):
     return flat(q.filter_interactions(audit(spark, sf), q="[word_1] _n"))
@@ -203,7 +203,7 @@ def list_page(spark, sf):
     return flat(q.page_of(rows, "entity_total", "desc", page=3, size=40))
 
 
-@query("list_page_by_language", "AUD-07", sql(f"SELECT {FLAT_SQL} FROM inter ORDER BY language ASC NULLS FIRST, id LIMIT 200 OFFSET 200"))
+@query("list_page_by_language", "AUD-07", sql(f"SELECT {FLAT_SQL} FROM inter ORDER BY language ASC NULLS FIRST, id LIMIT 500 OFFSET 500"))
 def list_page_by_language(spark, sf):
     return flat(q.page_of(audit(spark, sf).interaction, "language", "asc", page=2, size=500))
 

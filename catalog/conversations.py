@@ -249,16 +249,16 @@ def judged_hooks(spark, sf):
 
 # --- language ---------------------------------------------------------------
 
-_SAMPLE = "CASE WHEN length(trim(text, chr(10) || chr(9) || ' ')) >= 10 THEN lower(left(trim(text, chr(10) || chr(9) || ' '), 1000)) END"
+_SAMPLE = "CASE WHEN length(trim(text, chr(10) || chr(9) || ' ')) >= 10 THEN lower(trim(text, chr(10) || chr(9) || ' ')) END"
 
 
 @query(
     "detect_languages",
     "CNV-11",
     f"""WITH s AS (SELECT doc_id, lang, {_SAMPLE} AS t FROM documents), g AS (SELECT doc_id, lang, substr(t, k, 3) AS gram FROM s, LATERAL (SELECT unnest(range(1, length(t) - 1)) AS k)),
-    c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2), p AS (SELECT lang, gram, 301 - r AS weight FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM c) WHERE r <= 300),
+    c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2), p AS (SELECT lang, gram, (n * 1000000000) // sum(n) OVER (PARTITION BY lang) AS weight FROM c),
     x AS (SELECT g.doc_id, p.lang, sum(weight) AS score FROM g JOIN p USING (gram) GROUP BY 1, 2),
-    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ascii(lang)) AS r FROM x)
+    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM x)
     SELECT d.doc_id, b.lang AS language FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND r = 1""",
 )
 def languages(spark, sf):
@@ -418,7 +418,7 @@ def import_interactions(spark, sf):
 
 @query(
     "import_texts",
-    "CNV-16 VLT-03",
+    "CNV-15 CNV-16 VLT-03",
     f"""{_IMP}, r AS ({rendered_sql(pieces_sql(_IMP_SRC, "k", "text", WORD), f"SELECT k AS key, value, placeholder AS name FROM v JOIN {_IMP_SRC} x ON x.k // 1000 = v.scope")})
     SELECT (row_number() OVER (PARTITION BY conv_id, turn_no ORDER BY turn) - 1)::BIGINT AS seq, category, md5(text) AS original, md5(rendered) AS anonymized
     FROM r JOIN nu ON nu.conv_id = r.key // 1000 AND nu.turn = r.key % 1000 WHERE rendered <> text""",
@@ -430,8 +430,9 @@ def import_texts(spark, sf):
 @query(
     "import_counters",
     "CNV-18",
-    f"""{_IMP}, s AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (1, 2)), i AS (SELECT DISTINCT conv_id FROM tn WHERE {_NEW})
-    SELECT (SELECT count(*) FROM s) AS found, (SELECT count(*) FROM s) - (SELECT count(*) FROM i) AS skipped, (SELECT count(*) FROM i) AS imported,
+    f"""{_IMP}, s AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (1, 2)), i AS (SELECT DISTINCT conv_id FROM tn WHERE {_NEW}),
+    f AS (SELECT conv_id FROM s WHERE {_NEW} AND conv_id NOT IN (SELECT conv_id FROM tn))
+    SELECT (SELECT count(*) FROM s) AS found, (SELECT count(*) FROM s) - (SELECT count(*) FROM i) - (SELECT count(*) FROM f) AS skipped, (SELECT count(*) FROM f) AS failed, (SELECT count(*) FROM i) AS imported,
     (SELECT count(*) FROM tn WHERE {_NEW}) AS turns, (SELECT coalesce(sum(total), 0)::BIGINT FROM c) AS entities""",
 )
 def import_counters(spark, sf):
@@ -441,24 +442,15 @@ def import_counters(spark, sf):
 @query(
     "import_dry_run",
     "CNV-18",
-    f"""WITH {_A}, s AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (1, 2)), i AS (SELECT DISTINCT conv_id FROM tn WHERE {_NEW})
-    SELECT (SELECT count(*) FROM s) AS found, (SELECT count(*) FROM s) - (SELECT count(*) FROM i) AS skipped, (SELECT count(*) FROM i) AS imported,
+    f"""WITH {_A}, s AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (1, 2)), i AS (SELECT DISTINCT conv_id FROM tn WHERE {_NEW}),
+    f AS (SELECT conv_id FROM s WHERE {_NEW} AND conv_id NOT IN (SELECT conv_id FROM tn))
+    SELECT (SELECT count(*) FROM s) AS found, (SELECT count(*) FROM s) - (SELECT count(*) FROM i) - (SELECT count(*) FROM f) AS skipped, (SELECT count(*) FROM f) AS failed, (SELECT count(*) FROM i) AS imported,
     (SELECT count(*) FROM tn WHERE {_NEW}) AS turns, 0::BIGINT AS entities""",
 )
 def import_dry_run(spark, sf):
     return _import(spark, sf, dry_run=True).counters
 
 
-@query(
-    "cap_segments",
-    "CNV-15",
-    "SELECT doc_id, length(left(text || repeat('x', 90000), 100000))::BIGINT AS n, md5(left(text || repeat('x', 90000), 100000)) AS text FROM documents",
-)
-def cap_segments(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", F.repeat(F.lit("x"), 90000)).alias("text"))
-    return im.cap_segments(docs).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("text"))
-
-
 @query(
     "preview_import_sources",
     "CNV-19",

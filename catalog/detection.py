@@ -131,7 +131,7 @@ def _token_sql() -> str:
 _RE2 = {
     "SECRET_AWS_ACCESS_KEY": "(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}",
     "SECRET_GCP_API_KEY": r"AIza[A-Za-z0-9_\-]{35}",
-    "SECRET_GITHUB_TOKEN": "gh[pousr]_[A-Za-z0-9]{36,255}",
+    "SECRET_GITHUB_TOKEN": "gh[pousr]_[A-Za-z0-9]{36,}",
     "SECRET_GITLAB_TOKEN": r"glpat-[A-Za-z0-9_\-]{20,}",
     "SECRET_ANTHROPIC_KEY": r"sk-ant-[A-Za-z0-9_\-]{20,}",
     "SECRET_OPENAI_KEY": r"sk-proj-[A-Za-z0-9_\-]{20,}",
@@ -186,7 +186,7 @@ def detect_auth_headers(spark, sf):
 
 
 _GENERIC = found_sql(
-    "documents", "doc_id", "text", r"[A-Za-z0-9_\-.+/]{10,150}={0,2}",
+    "documents", "doc_id", "text", r"[A-Za-z0-9_\-.+/]{10,}={0,2}",
     r"(?i:api[_\-]?key|secret|token|passw(?:or)?d|credential|access[_\-]?key)[A-Za-z0-9_\-]*[\x22\x27]?\s*(?:=>|:=|=|:)\s*[\x22\x27]?",
 )
 _ENTROPY = (

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+SPREAD = "spark.hushframe.spread"
+
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 COVERS: dict[str, list[str]] = {}
@@ -18,15 +20,13 @@ COVERS: dict[str, list[str]] = {}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table.
 
-    The driver writes one file with one row group, which a single task reads.
-    Text work is bound by CPU, so ``documents`` is spread over the cores while it
-    has fewer files than there are cores; a table of many files is left alone.
+    A run on one machine may ask for ``documents`` to be spread over its cores
+    (``SPREAD``), since its tables are single row groups; on a cluster the setting
+    is absent and the scan's own splits are used.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name == "documents" and len(df.inputFiles()) < cores:
-        df = df.repartition(cores)
-    return df
+    spread = spark.conf.get(SPREAD, None)
+    return df.repartition(int(spread)) if spread and name == "documents" else df
 
 
 def plain(df: DataFrame) -> DataFrame:

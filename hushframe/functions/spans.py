@@ -277,12 +277,16 @@ def merge_spans(spans: Column) -> Column:
 
 
 def splice(text: Column, spans: Column, replacement: Callable[[Column, Column], Column]) -> Column:
-    """Replace disjoint, ordered spans; ``replacement(span, index)`` gives each new text."""
+    """Replace disjoint, ordered spans; ``replacement(span, index)`` gives each new text.
+
+    Where it gives null, the span's label in brackets stands in: no text is lost and no value stays in the clear.
+    """
 
     def build(ss: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:
             begin = F.when(i == 0, F.lit(0)).otherwise(F.get(ss, i - 1)["end"])
-            return F.concat(F.substring(text, begin + 1, s["start"] - begin), replacement(s, i))
+            plain = F.concat(F.lit("["), F.coalesce(s["label"], F.lit("REDACTED")), F.lit("]"))
+            return F.concat(F.substring(text, begin + 1, s["start"] - begin), F.coalesce(replacement(s, i), plain))
 
         tail = F.substring(text, F.element_at(ss, -1)["end"] + 1, F.length(text))
         return F.when(F.size(ss) == 0, text).otherwise(

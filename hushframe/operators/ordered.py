@@ -8,6 +8,8 @@ summed on its own, and the sums of earlier partitions are added as a carry.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -66,19 +68,21 @@ HOT_PARTS = 1000
 
 
 def lookup(left: DataFrame, table: DataFrame, on: list[str], take: str) -> DataFrame:
-    """Left join of many rows to a table with one row per key and a ``uses`` column.
+    """Left join of many rows to a table with one row per key and a ``uses`` column; null keys meet null keys.
 
     Hot keys (at most ``HOT_PARTS`` of them) come by broadcast, and their rows get
     a salted key so that the shuffle join of the rest does not pile them up.
     """
     total = table.agg(F.sum("uses")).first()[0] or 0
-    hot = table.filter(F.col("uses") * HOT_PARTS > F.lit(total)).select(*on, F.col(take).alias("__hot"))
+    own = [F.col(k).alias(f"__on{i}") for i, k in enumerate(on)]
+    match = lambda: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__on{i}")) for i, k in enumerate(on)])
+    hot = table.filter(F.col("uses") * HOT_PARTS > F.lit(total)).select(*own, F.col(take).alias("__hot"))
     cold = table.select(
-        *on, F.when(F.col("uses") < 0, 1).otherwise(0).cast("long").alias("__salt"), F.col(take).alias("__cold")
+        *own, F.when(F.col("uses") < 0, 1).otherwise(0).cast("long").alias("__cut"), F.col(take).alias("__cold")
     )
-    salted = left.join(F.broadcast(hot), on, "left").withColumn(
+    salted = left.join(F.broadcast(hot), match(), "left").select(*left.columns, "__hot").withColumn(
         "__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.abs(F.xxhash64(*left.columns) % 65536) + 1).cast("long")
     )
-    return salted.join(cold, [*on, "__salt"], "left").select(
+    return salted.join(cold, match() & (F.col("__salt") == F.col("__cut")), "left").select(
         *left.columns, F.coalesce("__hot", "__cold").alias(take)
     )

@@ -42,7 +42,7 @@ RULES: tuple[SecretRule, ...] = (
     SecretRule("SECRET_GCP_API_KEY", _EDGE + r"AIza[A-Za-z0-9_\-]{35}(?![A-Za-z0-9_\-])", ("AIza",)),
     SecretRule(
         "SECRET_GITHUB_TOKEN",
-        _EDGE + r"(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})" + _STOP,
+        _EDGE + r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})" + _STOP,
         ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),
     ),
     SecretRule("SECRET_GITLAB_TOKEN", _EDGE + r"glpat-[A-Za-z0-9_\-]{20,}", ("glpat-",)),
@@ -92,7 +92,7 @@ RULES: tuple[SecretRule, ...] = (
     ),
     SecretRule(
         "SECRET_GENERIC",
-        r"(?<pre>(?i:api[_\-]?key|secret|token|passw(?:or)?d|credential|access[_\-]?key)[A-Za-z0-9_\-]*[\"']?\s*(?:=>|:=|=|:)\s*[\"']?)(?<hit>[A-Za-z0-9_\-.+/]{10,150}={0,2})",
+        r"(?<pre>(?i:api[_\-]?key|secret|token|passw(?:or)?d|credential|access[_\-]?key)[A-Za-z0-9_\-]*[\"']?\s*(?:=>|:=|=|:)\s*[\"']?)(?<hit>[A-Za-z0-9_\-.+/]{10,}={0,2})",
         tuple(w for k in _GENERIC_WORDS for w in (k, k.upper(), k.title())),
         3.5,
     ),

@@ -12,13 +12,10 @@ from hushframe.functions.spans import choose_spans
 from hushframe.operators.detectors import Detector, explode_spans
 from hushframe.operators.ordered import number_rows
 from hushframe.operators.vault import build_vault, counts_map, pseudonymize, type_counts
-from hushframe.plans.audit import Audit
+from hushframe.plans.audit import Audit, page_size
 from hushframe.plans.store import record_id
 from hushframe.session import materialize
 
-# Fixed value: the segment length an import may be told to cut at (``max_chars``).
-SEGMENT_CHARS = 100_000
-
 
 @dataclass(frozen=True)
 class Imported:
@@ -28,10 +25,6 @@ class Imported:
     counters: DataFrame
 
 
-def cap_segments(segments: DataFrame, max_chars: int = SEGMENT_CHARS) -> DataFrame:
-    return segments.withColumn("text", F.left("text", F.lit(max_chars)))
-
-
 def drop_excluded(sessions: DataFrame, exclude: Sequence[str] | None) -> DataFrame:
     """Leave out deselected ids; a file without an id in its name cannot be deselected."""
     if not exclude:
@@ -63,23 +56,21 @@ def import_sessions(
     exclude: Sequence[str] | None = None,
     dry_run: bool = False,
     save: str = "anonymized",
-    max_chars: int | None = None,
 ) -> Imported:
     """Audit rows of all sessions that are new, one vault per session.
 
     Segments stay rows throughout, so neither a session nor a turn has to fit in
-    one task. ``max_chars`` cuts a segment before detection (the segment's rest
-    is not stored either); by default whole texts are read.
+    one task, and whole texts are read.
     """
     found = drop_excluded(sessions, exclude)
-    chosen = new_sessions(found, turn_rows, known)
-    turns = turn_rows.join(chosen.select("path"), "path", "left_semi")
+    # both feed the counters and several joins
+    chosen = materialize(new_sessions(found, turn_rows, known))
+    turns = materialize(turn_rows.join(chosen.select("path"), "path", "left_semi"))
+    failed = unreadable(found, turn_rows, known)
     if dry_run:
-        return Imported(None, counters(found, chosen, turns, None))
+        return Imported(None, counters(found, chosen, turns, failed, None))
 
     segs = segment_rows.join(chosen.select("path"), "path", "left_semi")
-    if max_chars is not None:
-        segs = cap_segments(segs, max_chars)
     segs = materialize(segs.withColumn("spans", choose_spans(detect(F.col("text")))))
     spans = explode_spans(segs, keep=["session_id", "turn_no", "block", "line", "i"])
     vault = build_vault(spans, ["turn_no", "block", "line", "i", "start"], scope="session_id")
@@ -119,23 +110,31 @@ def import_sessions(
         "original",
         "anonymized",
     )
-    return Imported(Audit(interaction, detection, text), counters(found, chosen, turns, interaction))
+    return Imported(Audit(interaction, detection, text), counters(found, chosen, turns, failed, interaction))
+
+
+def unreadable(found: DataFrame, turn_rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Sessions not known by file name that give no turn."""
+    ids = known.select(F.col("conversation_id").alias("session_hint")).filter("session_hint is not null").distinct()
+    return found.join(ids, "session_hint", "left_anti").join(turn_rows.select("path").distinct(), "path", "left_anti")
 
 
-def counters(found: DataFrame, chosen: DataFrame, turns: DataFrame, interaction: DataFrame | None) -> DataFrame:
-    """One row: found, skipped, imported, turns, entities."""
+def counters(found: DataFrame, chosen: DataFrame, turns: DataFrame, failed: DataFrame, interaction: DataFrame | None) -> DataFrame:
+    """One row: found, skipped, failed, imported, turns, entities."""
     part = lambda name, c, df: df.agg(c.cast("bigint").alias("v")).select(F.lit(name).alias("k"), "v")
     rows = (
         part("found", F.count(F.lit(1)), found)
         .unionByName(part("imported", F.count(F.lit(1)), chosen))
         .unionByName(part("turns", F.count(F.lit(1)), turns))
+        .unionByName(part("failed", F.count(F.lit(1)), failed))
     )
     if interaction is not None:
         rows = rows.unionByName(part("entities", F.coalesce(F.sum("entity_total"), F.lit(0)), interaction))
     pick = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("v"))), F.lit(0))
     return rows.agg(
         pick("found").alias("found"),
-        (pick("found") - pick("imported")).alias("skipped"),
+        (pick("found") - pick("imported") - pick("failed")).alias("skipped"),
+        pick("failed").alias("failed"),
         pick("imported").alias("imported"),
         pick("turns").alias("turns"),
         pick("entities").alias("entities"),
@@ -156,13 +155,12 @@ def preview_sources(sessions: DataFrame, known: DataFrame) -> DataFrame:
 def preview_sessions(
     sessions: DataFrame, known: DataFrame, title_rows: DataFrame | None = None, limit: int = 200
 ) -> DataFrame:
-    """The newest sessions (at most 500) with title, project and imported flag.
+    """The newest ``limit`` sessions with title, project and imported flag.
 
     ``title_rows`` (path, title, cwd) is given only when plaintext may be shown;
     otherwise titles are null.
     """
-    cap = max(1, min(limit, 500))
-    newest = sessions.orderBy(F.col("modified_at").desc(), "path").limit(cap)
+    newest = sessions.orderBy(F.col("modified_at").desc(), "path").limit(page_size(limit))
     ids = known.select(F.col("conversation_id").alias("session_hint")).filter("session_hint is not null").distinct()
     out = newest.join(ids.withColumn("imported", F.lit(True)), "session_hint", "left")
     if title_rows is not None:

@@ -4,22 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from hushframe.functions.text import let, strip
+from hushframe.session import materialize
 
-SAMPLE_CHARS = 1000
 MIN_CHARS = 10
-TOP = 300
+#: Shares are whole numbers of this unit, so that sums do not depend on their order.
+UNIT = 1_000_000_000
+#: Profiles of at most so many rows are broadcast; larger ones meet the texts by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def sample_of(text: Column) -> Column:
-    """What is classified: the start of the trimmed text, or null when it is too short to tell."""
-
-    def pick(s: Column) -> Column:
-        return F.when(F.length(s) >= MIN_CHARS, F.lower(s))
-
-    return let(F.left(strip(text), F.lit(SAMPLE_CHARS)), pick)
+def readable(text: Column) -> Column:
+    """The whole trimmed text in lower case, or null when it is too short to tell."""
+    return let(strip(text), lambda s: F.when(F.length(s) >= MIN_CHARS, F.lower(s)))
 
 
 def trigrams(text: Column) -> Column:
@@ -32,29 +30,30 @@ def trigrams(text: Column) -> Column:
     return let(F.split(text, ""), cut)
 
 
-def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> DataFrame:
-    """(lang, gram, weight): the ``top`` trigrams of each language, the first weighing most.
+def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", least_share: float = 0.0) -> DataFrame:
+    """(lang, gram, weight): each trigram's share of its language, over whole texts.
 
-    Counts shrink to (language, trigram) pairs before they are ranked, so a rank
-    window holds one language's alphabet of trigrams and no text.
+    Counts shrink to (language, trigram) pairs map-side, and totals to one row per
+    language, so no language meets in one task. ``least_share`` leaves out rarer
+    trigrams, which bounds a profile; by default all are kept.
     """
-    grams = labelled.select(F.col(lang).alias("lang"), F.explode(trigrams(sample_of(F.col(text)))).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    return counts.withColumn("r", rank).filter(F.col("r") <= top).select("lang", "gram", (F.lit(top + 1) - F.col("r")).alias("weight"))
+    grams = labelled.select(F.col(lang).alias("lang"), F.explode(trigrams(readable(F.col(text)))).alias("gram"))
+    counts = materialize(grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
+    share = counts.join(totals, F.col("lang").eqNullSafe(F.col("of")))
+    return share.where(F.col("n") >= F.col("total") * least_share).select("lang", "gram", F.expr(f"n * {UNIT} div total").alias("weight"))
 
 
 def detect_language(df: DataFrame, profiles: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """(key, language); null when the text is too short or shares no trigram with any profile.
 
-    The profiles (languages x ``TOP`` rows) are broadcast; a text's trigrams are
-    counted per language and added up map-side.
+    A text's trigrams are counted before they meet the profiles. Ties go to the
+    first language by name.
     """
-    grams = df.select(*key, F.explode_outer(trigrams(sample_of(F.col(text)))).alias("gram"))
-    scores = (
-        grams.join(F.broadcast(profiles), "gram", "left")
-        .groupBy(*key, "lang")
-        .agg(F.sum("weight").alias("score"))
-    )
-    best = F.max_by("lang", F.when(F.col("lang").isNotNull(), F.struct("score", (-F.ascii("lang")).alias("t"))))
-    return scores.groupBy(*key).agg(best.alias("language"))
+    counts = df.select(*key, F.explode_outer(trigrams(readable(F.col(text)))).alias("gram")).groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    profiles = materialize(profiles)
+    if profiles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        profiles = F.broadcast(profiles)
+    scores = counts.join(profiles, "gram", "left").groupBy(*key, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+    best = F.min(F.when(F.col("lang").isNotNull(), F.struct((-F.col("score")).alias("s"), "lang")))
+    return scores.groupBy(*key).agg(best["lang"].alias("language"))

@@ -33,7 +33,6 @@ LEADING_TAG = r"^<([A-Za-z][\w-]*)\b[^>]*>"
 SIGNED_BLOCKS = ("thinking", "redacted_thinking")
 
 # What marks a background call.
-SCAN_CHARS = 16_000
 SAFETY_MARKERS = (
     "stage 1 does not apply user intent", "err on the side of blocking", "you are a command",
     "command injection", "<policy_spec>",
@@ -99,6 +98,21 @@ def _all_strings(v: Column, make: Callable[[Column], Column]) -> Column:
     return F.when(v.isNull(), _none()).otherwise(let(F.to_json(v), cut))
 
 
+# A string member named text or content, at any depth of a JSON text.
+NESTED_TEXT = r'(?<pre>"(?:text|content)"\s*:\s*)(?<hit>"[^"\\]*+(?:\\.[^"\\]*+)*+")'
+
+
+def _nested_texts(v: Column, make: Callable[[Column], Column]) -> Column:
+    """Segments of all texts in a tool result, however deep its blocks are nested."""
+
+    def cut(body: Column) -> Column:
+        tokens = find_spans(body, NESTED_TEXT, "")
+        return F.transform(tokens, lambda s: make(json_unescape(F.substring(body, s["start"] + 2, s["end"] - s["start"] - 2))))
+
+    inner = F.when(v.isNull(), _none()).otherwise(let(F.to_json(v), cut))
+    return F.when(_is(v, "STRING"), _one(make(_text(v, "$")))).otherwise(inner)
+
+
 def parsed(requests: DataFrame, body: str = "body", name: str = "json") -> DataFrame:
     """Adds the body as a variant and keeps JSON objects only."""
     return requests.withColumn(name, once(F.try_parse_json(F.col(body)))).filter(_is(F.col(name), "OBJECT"))
@@ -175,7 +189,7 @@ def _anthropic_content(content: Column, text_fn, data_fn) -> Column:
         def by_kind(kind: Column) -> Column:
             own = _one(text_fn(_text(b, "$.text")))
             extra = (
-                F.when(kind == "tool_result", _blocks(_at(b, "$.content"), data_fn))
+                F.when(kind == "tool_result", _nested_texts(_at(b, "$.content"), data_fn))
                 .when(kind == "tool_use", _all_strings(_at(b, "$.input"), _machine))
                 .otherwise(_none())
             )
@@ -311,7 +325,7 @@ def kind_of(wire: Column, body: Column) -> Column:
             .otherwise("main")
         )
 
-    return let(F.lower(F.left(F.array_join(F.filter(parts, votes), " "), F.lit(SCAN_CHARS))), mark)
+    return let(F.lower(F.array_join(F.filter(parts, votes), " ")), mark)
 
 
 def conversation_key(wire: Column, body: Column) -> Column:
