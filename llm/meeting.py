@@ -52,9 +52,11 @@ def bucket_bits(rows: DataFrame, text: str, bytes_per_key: float) -> int:
 Keys = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def meet(rows: DataFrame, keys: Keys, bits: int, once: bool) -> DataFrame:
+def meet(rows: DataFrame, keys: Keys, bits: int, once: bool, inside: str | None = None) -> DataFrame:
     """Give each text of ``rows`` (id bigint, text string) its shared keys.
 
+    With ``inside``, the second column is a struct and its field of that name the text.
+
     ``keys`` maps texts to (hash, text number) pairs in any order, repeats allowed. With ``once``, only the first of the
     texts of a piece that have the same set of keys takes part; the others come back with null ``keys``.
     Returns id, n (distinct keys), sig (hash of the set), keys and counts (packed, aligned, ascending by key).
@@ -64,7 +66,8 @@ def meet(rows: DataFrame, keys: Keys, bits: int, once: bool) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
-            for lump in pieces(batch, "text", PIECE_BYTES):
+            texts = batch.column(1) if inside is None else batch.column(1).field(inside)
+            for lump in pieces(pa.RecordBatch.from_arrays([batch.column(0), texts], ["id", "text"]), "text", PIECE_BYTES):
                 for at in range(0, lump.num_rows, ROWS_PER_PIECE):
                     part = lump.slice(at, ROWS_PER_PIECE)
                     name = f"{TaskContext.get().partitionId()}:{number}"

@@ -3,7 +3,7 @@
 1. Anchors. The 26 windows of 25 bytes in any 50-byte string have a least hash; equal strings have it at the same place.
    ``meeting.meet`` tells each text which of its anchors other texts hold; only the surroundings of those can repeat.
 2. Shards. Each piece of texts sends, per anchor, its sorted suffixes around it: all 50-byte strings through the anchor lie
-   in 75 bytes. Equal surroundings of a shard travel once, under the smallest document; the shard settles its other ones.
+   in 25 bytes on either side of it. Equal surroundings of a shard travel once, under the smallest document; the shard settles its other ones.
    Suffixes go to the bucket of their anchor, so equal strings meet and no bucket needs the whole corpus.
 3. Merge. A bucket merges the shards' columns (the Burrows-Wheeler columns of aligned suffixes) by iterative interleave
    refinement: round h takes the next symbol of every suffix in the present interleave and moves it stably inside its
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ LENGTH = 50
 GRAM = 25
 STARTS = LENGTH - GRAM + 1
 AROUND = 2 * LENGTH - GRAM
+SIDES = AROUND - GRAM
 #: Bytes per anchor, about: (STARTS + 1) / 2.
 BYTES_PER_ANCHOR = 13.5
 
@@ -105,13 +107,14 @@ def _shard(part: pa.RecordBatch, bits: int) -> pa.RecordBatch:
     left = STARTS - 1
     lo = np.maximum(0, left - (place - t.start[of])).astype(np.uint8)
     hi = np.minimum(AROUND, t.end[of] - place + left).astype(np.uint8)
-    column = np.arange(AROUND)
+    # the symbols left and right of the anchor; its own are its hash
+    column = np.append(np.arange(left), np.arange(left + GRAM, AROUND))
     around = t.data[np.clip(place[:, None] + (column - left), 0, len(t.data) - 1)]
     around[(column < lo[:, None]) | (column >= hi[:, None])] = 0
     # equal surroundings once, under the smallest document
-    wide = np.concatenate([around, lo[:, None], hi[:, None]], 1).ravel()
-    begin = np.arange(len(h)) * (AROUND + 2)
-    same = window_hashes(byte_values(wide), begin, begin + AROUND + 2) if len(h) else h
+    wide = np.concatenate([around, lo[:, None], hi[:, None]], 1)
+    begin = np.arange(len(h)) * wide.shape[1]
+    same = window_hashes(byte_values(wide.ravel()), begin, begin + wide.shape[1]) if len(h) else h
     order = np.lexsort((doc, same, h))
     new = np.ones(len(h), bool)
     new[1:] = same[order[1:]] != same[order[:-1]]
@@ -132,7 +135,7 @@ def _shard(part: pa.RecordBatch, bits: int) -> pa.RecordBatch:
         sizes = np.array([len(f), len(sent), len(whole)], np.int64)
         bodies.append(
             _squeeze(
-                sizes, h[f], doc[f], lo[f], hi[f], np.ascontiguousarray(around[f].T), (entry[rows][stays[rows]] - e0).astype(np.int64), key[sent], position[sent],
+                sizes, h[f], doc[f], lo[f], hi[f], around[f], (entry[rows][stays[rows]] - e0).astype(np.uint32), key[sent], position[sent],
                 key[whole], position[whole] - left + lo[whole], position[whole] - left + hi[whole],
             )
         )
@@ -145,11 +148,11 @@ def _read(body: bytes) -> list[np.ndarray]:
     n, m, k = np.frombuffer(raw, np.int64, 3)
     at, out = 24, []
     for kind, size in (
-        (np.uint64, n), (np.int64, n), (np.uint8, n), (np.uint8, n), (np.uint8, n * AROUND), (np.int64, m), (np.int64, m), (np.int64, m), (np.int64, k), (np.int64, k), (np.int64, k)
+        (np.uint64, n), (np.int64, n), (np.uint8, n), (np.uint8, n), (np.uint8, n * SIDES), (np.uint32, m), (np.int64, m), (np.int64, m), (np.int64, k), (np.int64, k), (np.int64, k)
     ):
         out.append(np.frombuffer(raw, kind, size, at))
         at += size * np.dtype(kind).itemsize
-    out[4] = out[4].reshape(AROUND, n)
+    out[4] = out[4].reshape(n, SIDES)
     return out
 
 
@@ -188,7 +191,7 @@ def repeats(h: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, arou
     found = np.zeros(len(h), np.int64)
     block = np.cumsum(np.append(0, h[1:] != h[:-1])) if len(h) else h.astype(np.int64)
     left = STARTS - 1
-    zr, right_common = interleave(block, [around[c] for c in range(left + GRAM, AROUND)])
+    zr, right_common = interleave(block, [around[c] for c in range(left, SIDES)])
     zl, left_common = interleave(block, [around[c] for c in range(left - 1, -1, -1)])
     right, other = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
     for start in range(STARTS):
@@ -213,9 +216,9 @@ def _merge(group: pa.Table) -> pa.Table:
     shards = [_read(x) for x in group["body"].to_pylist()]
     sizes = np.array([len(s[0]) for s in shards])
     h, doc, lo, hi = (np.concatenate([s[i] for s in shards]) for i in range(4))
-    around = np.concatenate([s[4] for s in shards], 1)
+    around = np.concatenate([s[4] for s in shards])
     base = np.cumsum(sizes) - sizes
-    entry = np.concatenate([s[5] + b for s, b in zip(shards, base)])
+    entry = np.concatenate([s[5].astype(np.int64) + b for s, b in zip(shards, base)])
     key, position = (np.concatenate([s[i] for s in shards]) for i in (6, 7))
     done = [np.concatenate([s[i] for s in shards]) for i in (8, 9, 10)]
     del shards
@@ -226,7 +229,7 @@ def _merge(group: pa.Table) -> pa.Table:
     apart = np.repeat(np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first), count) if len(h) else np.zeros(0, bool)
     order = order[apart]
     bits = np.zeros(len(h), np.int64)
-    bits[order] = repeats(h[order], doc[order], lo[order], hi[order], np.ascontiguousarray(around[:, order]))
+    bits[order] = repeats(h[order], doc[order], lo[order], hi[order], np.ascontiguousarray(around[order].T))
     bits = bits[entry]
     keys, begins, ends = [done[0]], [done[1]], [done[2]]
     left = STARTS - 1
@@ -255,31 +258,35 @@ def _united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], b[np.append(first[1:], len(a)) - 1]
 
 
-def cuts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, str, str]:
-    """``docs`` as (row struct, key, text) plus ``spans`` (array of a, b to remove, may overlap) and ``whole``."""
+def cuts(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` as (key, row); keys that repeat a whole text; (key, spans), arrays of a, b to remove that may overlap.
+
+    The rows are shuffled by key once: all joins read that exchange.
+    """
     key = F.xxhash64(doc_id, text)
-    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), F.col(text).alias("text"))
-    rows = docs.select(key.alias("id"), F.col(text).alias("text"))
+    body = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     ids = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST))
     named = docs.select(key.alias("key"), F.xxhash64(text, F.octet_length(text)).alias("same"), ids.alias("doc"))
     # the smallest document of each text; distinct keys only, so equal rows count once
     least = named.groupBy("same").agg(F.min("doc").alias("least"))
-    named = named.distinct().join(least, "same").select("key", "doc", (F.col("doc") > F.col("least")).alias("whole"))
-    bits = bucket_bits(rows, "text", BYTES_PER_ANCHOR)
-    shared = meet(rows, _keys, bits, once=False).where("shared > 0").select(F.col("id").alias("key"), "keys").dropDuplicates(["key"])
-    about = named.join(shared, "key", "left")
-    # the texts are shuffled by key once; both joins read that exchange
-    texts = body.select("key", "text")
-    sending = texts.join(about.where("NOT whole AND keys IS NOT NULL"), "key").select("key", "doc", "keys", "text")
+    named = named.distinct().join(least, "same").select("key", (F.col("doc") > F.col("least")).alias("whole"))
+    whole = named.where("whole")
+    bits = bucket_bits(docs, text, BYTES_PER_ANCHOR)
+    firsts = body.join(named.where("NOT whole").select("key"), "key").select("key", "row")
+    shared = meet(firsts, _keys, bits, once=False, inside=text).where("shared > 0").select(F.col("id").alias("key"), "keys").dropDuplicates(["key"])
+    sending = body.join(shared, "key").select("key", "row", "keys")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            row = batch.column(1)
+            doc = pc.fill_null(row.field(doc_id).cast(pa.int64()), _LAST)
+            flat = pa.RecordBatch.from_arrays([batch.column(0), doc, batch.column(2), row.field(text)], ["key", "doc", "keys", "text"])
+            for part in pieces(flat, "text"):
                 yield _shard(part, bits)
 
     merged = sending.mapInArrow(send, "bucket bigint, body binary").groupBy("bucket").applyInArrow(_merge, "key bigint, a bigint, b bigint")
-    spans = merged.distinct().groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return body, named.select("key", "whole").where("whole"), spans
+    spans = merged.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return body, whole, spans
 
 
 def _spans(length: int, spans, whole: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -297,20 +304,21 @@ def _kept(data: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    body, whole, spans = cuts(docs, text, doc_id)
-    rows = body.select("key", "text", F.col(f"row.`{doc_id}`").cast("bigint").alias("doc_id"))
-    full = rows.join(whole, "key", "left").join(spans, "key", "left").select("doc_id", "text", "whole", "spans")
+    body, whole, spans = cuts(docs.select(doc_id, text), text, doc_id)
+    full = body.join(whole, "key", "left").join(spans, "key", "left").select("row", "whole", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            row = batch.column(0)
             out = []
-            for t, w, s in zip(*(batch.column(i) for i in (1, 2, 3))):
+            for t, w, s in zip(row.field(text), batch.column(1), batch.column(2)):
                 data = (t.as_py() or "").encode()
                 a, b = _spans(len(data), s.as_py(), bool(w.as_py()))
                 out.append((len(data), int((b - a).sum()), len(a), hashlib.sha256(_kept(data, a, b)).hexdigest()))
             columns = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                [row.field(doc_id).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
     return full.mapInArrow(work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
@@ -323,26 +331,26 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     is set to the text's new length in characters.
     """
     body, whole, spans = cuts(docs, text, doc_id)
-    full = body.select("key", "row").join(whole, "key", "left").join(spans, "key", "left").select("row.*", F.struct("whole", "spans"))
+    full = body.join(whole, "key", "left").join(spans, "key", "left").select("row", "whole", "spans")
     at, names = docs.columns.index(text), docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns[:-1])
+            row = batch.column(0)
+            columns, types = [row.field(i) for i in range(len(names))], [row.type.field(i).type for i in range(len(names))]
             texts = []
-            for t, x in zip(columns[at], batch.columns[-1]):
+            for t, w, s in zip(columns[at], batch.column(1), batch.column(2)):
                 data = t.as_py()
                 if data is not None:
                     raw = data.encode()
-                    found = x.as_py()
-                    a, b = _spans(len(raw), found["spans"], bool(found["whole"]))
+                    a, b = _spans(len(raw), s.as_py(), bool(w.as_py()))
                     data = _kept(raw, a, b).decode("utf-8", "ignore") if len(a) else data
                 texts.append(data)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            columns[at] = pa.array(texts, types[at])
             if "n_chars" in names:
                 n = names.index("n_chars")
-                columns[n] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+                columns[n] = pa.array([None if t is None else len(t) for t in texts], types[n])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return full.mapInArrow(work, docs.schema)
 
