@@ -11,6 +11,7 @@ from catalog.registry import query, table
 from hushframe.plans import audit as q
 from hushframe.plans import exchanges as x
 from hushframe.plans import store as st
+from hushframe.plans.audit import Audit
 from hushframe.plans.live import keep_texts
 from hushframe.session import checkpoint_dir
 from hushframe.sources.requests import source_of
@@ -129,10 +130,16 @@ def evolve_old_tables(spark, sf):
     (SELECT count(*) FROM txt WHERE interaction_id <> 7) AS texts, EXISTS (SELECT 1 FROM inter WHERE id = 7) AS deleted"""),
 )
 def delete_interaction(spark, sf):
-    a, existed = st.without(audit(spark, sf), 7)
+    path = _scratch(spark, "delete")
+    whole = audit(spark, sf)
+    low, child = F.col("id") < 100, F.col("interaction_id") < 100
+    st.append_audit(Audit(whole.interaction.filter(low), whole.detection.filter(child), whole.text.filter(child)), path, batch="b1")
+    st.append_audit(Audit(whole.interaction.filter(~low), whole.detection.filter(~child), whole.text.filter(~child)), path, batch="b2")
+    existed = st.delete_interaction(spark, path, 7)
+    a = st.read_audit(spark, path)
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias("v")).select(F.lit(name).alias("k"), "v")
     rows = n(a.interaction, "i").unionByName(n(a.detection, "d")).unionByName(n(a.text, "t"))
-    rows = rows.unionByName(existed.select(F.lit("x").alias("k"), F.col("deleted").cast("bigint").alias("v")))
+    rows = rows.unionByName(spark.range(1).select(F.lit("x").alias("k"), F.lit(int(existed)).cast("bigint").alias("v")))
     pick = lambda k: F.sum(F.when(F.col("k") == k, F.col("v")))
     return rows.agg(
         pick("i").alias("interactions"), pick("d").alias("detections"), pick("t").alias("texts"), (pick("x") > 0).alias("deleted")

@@ -553,3 +553,20 @@ def pick_files_by_time(spark, sf):
     files = events.select("event_id", F.lit("/r/p/x.jsonl").alias("path"), F.col("ts").cast("timestamp").alias("modified_at"))
     since = events.filter("event_id = 100").select(F.col("ts").cast("timestamp")).first()[0].replace(tzinfo=timezone.utc)
     return tr.pick_files(files, "a", since, tr.parse_until("2024-01-09"), None).select("event_id")
+
+
+@query(
+    "segment_nested_results",
+    "CNV-01",
+    """SELECT doc_id AS request_id, 0::BIGINT AS pos, 'tool' AS author, md5('top') AS text FROM documents
+    UNION ALL SELECT doc_id, 1, 'tool', md5(text) FROM documents UNION ALL SELECT doc_id, 2, 'tool', md5('deep') FROM documents""",
+)
+def segment_nested_results(spark, sf):
+    """Tool results inside tool results, three deep."""
+    text = lambda t: _obj(("type", '"text"'), ("text", t))
+    result = lambda content: _obj(("type", '"tool_result"'), ("content", content))
+    inner = result(_arr(text(_s(F.col("text"))), result('"deep"')))
+    content = _arr(result(_arr(text('"top"'), inner)))
+    body = _obj(("messages", _arr(_obj(("role", '"user"'), ("content", content)))))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("request_id"), F.lit("anthropic").alias("wire_format"), body.alias("body"))
+    return rq.segments(rows).select("request_id", F.col("pos").cast("bigint").alias("pos"), "author", F.md5("text").alias("text"))

@@ -310,3 +310,17 @@ def preview_rows(spark, sf):
 
     rows = preview(_docs(spark, sf), word_spans)
     return rows.select("doc_id", F.md5("anonymized").alias("anonymized"), counts_text(F.col("counts")).alias("counts"), F.size("spans").alias("n_spans"))
+
+
+@query(
+    "detect_long_secrets",
+    "DET-06 DET-09",
+    """SELECT doc_id, 8::BIGINT AS begin_at, 328::BIGINT AS end_at, 'SECRET_GENERIC' AS label FROM documents
+    UNION ALL SELECT doc_id, 329::BIGINT, 653::BIGINT, 'SECRET_GITHUB_TOKEN' FROM documents""",
+)
+def detect_long_secrets(spark, sf):
+    """Values of 320 characters are found whole."""
+    value = F.repeat(F.sha2("text", 256), F.lit(5))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("api_key="), value, F.lit(" ghp_"), value).alias("text"))
+    found = docs.select("doc_id", F.explode(rule_spans(F.col("text"))).alias("s"))
+    return found.select("doc_id", F.col("s.start").cast("bigint").alias("begin_at"), F.col("s.end").cast("bigint").alias("end_at"), "s.label")

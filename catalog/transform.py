@@ -15,6 +15,7 @@ from hushframe.operators.policy import action_of, apply_policy, block_tally, pol
 from hushframe.operators.redact import redact_frame, redact_json, redact_text, redactor
 from hushframe.operators.telemetry import scrub_payloads, telemetry_interactions
 from hushframe.operators.vault import build_vault, counts_map, export_vault, pseudonymize, restore, type_counts
+from hushframe.session import materialize
 
 
 def _docs(spark, sf):
@@ -527,3 +528,14 @@ def recovered_values(spark, sf):
     return values_by_type(_aligned(spark, sf), ["conv_id"], ["turn"])
 
 
+
+
+@query("pseudonymize_null_scope", "VLT-02 VLT-04", "SELECT doc_id, md5(text) AS text, true AS masked FROM documents")
+def pseudonymize_null_scope(spark, sf):
+    """A null scope is a scope like any other: its placeholders are found both ways and no text is lost."""
+    docs = with_spans(table(spark, sf, "documents").select("doc_id", "text"), word_spans).withColumn("scope", F.lit(None).cast("string"))
+    docs = materialize(docs.withColumn("spans", choose_spans(F.col("spans"))))
+    vault = materialize(build_vault(explode_spans(docs, keep=["doc_id", "scope"]), ["doc_id", "start"]))
+    masked = pseudonymize(docs, vault, ["doc_id"])
+    back = restore(masked, vault, ["doc_id"])
+    return back.select("doc_id", F.md5("restored").alias("text"), ((F.size("spans") == 0) | (F.col("anonymized") != F.col("text"))).alias("masked"))

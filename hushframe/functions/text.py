@@ -24,9 +24,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-# Length of the blocks a scan works in. A fold copies what it carries at every
-# step, so the first pass carries one state per block, and the second pass works
-# out each block from the state before it.
+# Length of the blocks a scan works in: a fold copies what it carries at every
+# step, so it carries a list of finished blocks, by reference, and flattens it once.
 SCAN_BLOCK = 128
 
 
@@ -50,19 +49,12 @@ def scan(items: Column, init: int, step: Callable[[Column, Column], Column]) ->
             F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK))
         )
 
-        def ends(acc: Column, block: Column) -> Column:
-            last_state = F.aggregate(block, acc["state"], lambda state, x: step(state, x).cast("int"))
-            return let(last_state, lambda v: carry(v, F.concat(acc["out"], F.array(v))))
+        def join(acc: Column, block: Column) -> Column:
+            return let(inner(acc["state"], block), lambda r: carry(r["state"], F.concat(acc["out"], F.array(r["out"]))))
 
-        def all_blocks(bs: Column) -> Column:
-            states = F.aggregate(bs, carry(F.lit(init), none), ends, lambda acc: acc["out"])
-            return let(
-                states,
-                lambda ss: F.flatten(F.transform(bs, lambda b, i: inner(F.coalesce(F.get(ss, i - 1), F.lit(init)), b)["out"])),
-            )
-
-        one_block = inner(F.lit(init), xs)["out"]
-        return F.when(F.size(xs) == 0, none).when(F.size(xs) <= SCAN_BLOCK, one_block).otherwise(let(blocks, all_blocks))
+        nothing = F.array().cast("array<array<int>>")
+        folded = F.aggregate(blocks, carry(F.lit(init), nothing), join, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(xs) > 0, folded).otherwise(none)
 
     return let(items, outer)
 

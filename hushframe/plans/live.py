@@ -121,7 +121,11 @@ def judge_hooks(
         "done", once(pseudonymize_row(F.col("text"), F.col("spans")))
     )
     if history is not None:
-        df = df.join(current_exchange_pii(history), "conversation_id", "left")
+        # only the conversations at hand are looked up
+        asked = df.select("conversation_id").distinct()
+        part = history.interaction.join(asked, "conversation_id", "left_semi")
+        texts = history.text.join(part.select(F.col("id").alias("interaction_id")), "interaction_id", "left_semi")
+        df = df.join(current_exchange_pii(Audit(part, history.detection, texts)), "conversation_id", "left")
     else:
         df = df.withColumn("had_pii", F.lit(False))
     reply = F.col("event") == "afterAgentResponse"

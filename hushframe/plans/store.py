@@ -137,6 +137,23 @@ def without(a: Audit, interaction_id: int) -> tuple[Audit, DataFrame]:
     return Audit(a.interaction.filter(~gone), a.detection.filter(~child), a.text.filter(~child)), existed
 
 
+def delete_interaction(spark: SparkSession, path: str, interaction_id: int) -> bool:
+    """Delete one interaction and its children from the tables under ``path``; says if it was there.
+
+    Only the ``batch`` folders that hold it are written again.
+    """
+    existed = False
+    for name, ddl in TABLES.items():
+        own = F.col("id" if name == "interaction" else "interaction_id") == interaction_id
+        table = spark.read.schema(f"{ddl}, batch STRING").parquet(f"{path}/{name}")
+        folders = [r.batch for r in table.filter(own).select("batch").distinct().collect()]  # those that hold one interaction
+        existed |= bool(folders) and name == "interaction"
+        for batch in folders:
+            left = materialize(table.filter((F.col("batch") == batch) & ~own).drop("batch"))
+            left.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+    return existed
+
+
 def rewrite(a: Audit, path: str) -> None:
     """Write the tables to a new folder (a delete is a rewrite; the caller switches folders)."""
     append_audit(a, path, batch="rewrite")
