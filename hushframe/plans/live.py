@@ -13,7 +13,9 @@ from hushframe.operators.detectors import Detector
 from hushframe.operators.policy import blocked_counts, hook_verdict
 from hushframe.operators.row_vault import pseudonymize_row, pseudonymize_segments, value_map
 from hushframe.plans.audit import Audit, current_exchange_pii
+from hushframe.plans.language import detect_language
 from hushframe.plans.store import record_id
+from hushframe.session import materialize
 from hushframe.sources.requests import hook_events, restore_texts, with_facts
 
 SAVED = "array<struct<category:string,original:string,anonymized:string>>"
@@ -102,6 +104,12 @@ def judge_requests(
     )
 
 
+def with_language(records: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``records`` of ``judge_requests`` plus the language of their human texts, so that filters and facets find it."""
+    records = materialize(records)
+    return records.join(detect_language(records.select("id", "human_text"), profiles, ["id"], "human_text"), "id", "left")
+
+
 def judge_hooks(
     events: DataFrame,
     detect: Detector,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hushframe.operators.detectors import Detector
 from hushframe.operators.telemetry import scrub_payloads, split_valid, telemetry_interactions
-from hushframe.plans.live import judge_requests
+from hushframe.plans.live import judge_requests, with_language
 from hushframe.plans.store import append_audit, record_id, to_audit
 from hushframe.session import materialize
 
@@ -22,15 +22,19 @@ def start_request_audit(
     checkpoint: str,
     mode: str = "pseudonymize",
     save: str = "anonymized",
+    profiles: DataFrame | None = None,
     **trigger,
 ):
     """Judge requests as they arrive and append them. No state: a request carries its history.
 
-    Folders are named by micro-batch, so a retried batch replaces itself.
+    Folders are named by micro-batch, so a retried batch replaces itself. With
+    ``profiles`` (of ``fit_profiles``) a row gets the language of its new texts.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         records = judge_requests(batch, detect, action, mode, save)
+        if profiles is not None:
+            records = with_language(records, profiles)
         append_audit(to_audit(records), path, batch=f"requests-{batch_id}")
 
     return (
