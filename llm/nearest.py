@@ -19,6 +19,7 @@ no part, whatever their names.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -173,37 +174,62 @@ def search(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vec
     visits = calibrate(asked, dealt, tree, k, trials, recall)
 
     sizes = {r.leaf: r.k for r in dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).collect()}  # a row per leaf of the tree
+    # neighbouring leaves share a cell of at most BLOCK vectors; a larger leaf is a cell of its own, in several blocks
+    cell_of, held, cell = {}, 0, 0
+    for leaf in sorted(sizes):
+        if held and held + sizes[leaf] > BLOCK:
+            cell, held = cell + 1, 0
+        cell_of[leaf], held = cell, held + sizes[leaf]
+    cell_sizes = Counter()
+    for leaf, n in sizes.items():
+        cell_sizes[cell_of[leaf]] += n
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                part = b.slice(i, 1)
-                leaves = [x for x in tree.value.visit(matrix(part.column(1))[0], visits) if x in sizes]
-                yield pa.RecordBatch.from_arrays([c.take(pa.array([0] * len(leaves), pa.int64())) for c in part.columns] + [pa.array(leaves, pa.int64())], ["vec_id", "v", "leaf"])
-
-    walked = materialize(asked.mapInArrow(walk, "vec_id bigint, v array<double>, leaf bigint"))
-    calls = {r.leaf: r.k for r in walked.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).collect()}
-    parts = spark.createDataFrame([(int(n), -(-size // BLOCK), -(-calls.get(n, 0) // QUERY_BLOCK)) for n, size in sizes.items()], "leaf bigint, vs int, qs int")
-    # blocks: each block of vectors meets each block of queries of its leaf
-    cells = lambda df, own, other: (
-        df.join(F.broadcast(parts), "leaf")
+            rows, cells, lists = [], [], []
+            for i, q in enumerate(matrix(b.column(1))):
+                by_cell: dict[int, list[int]] = {}
+                for leaf in tree.value.visit(q, visits):
+                    if leaf in cell_of:
+                        by_cell.setdefault(cell_of[leaf], []).append(leaf)
+                rows += [i] * len(by_cell)
+                cells += by_cell.keys()
+                lists += by_cell.values()
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), pa.array(cells, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["vec_id", "v", "cell", "leaves"]
+            )
+
+    walked = materialize(asked.mapInArrow(walk, "vec_id bigint, v array<double>, cell bigint, leaves array<bigint>"))
+    calls = {r.cell: r.k for r in walked.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).collect()}
+    parts = [(int(c), -(-n // BLOCK), -(-calls.get(c, 0) // QUERY_BLOCK)) for c, n in cell_sizes.items()]
+    parts = spark.createDataFrame(parts, "cell bigint, vs int, qs int")
+    leaves = spark.createDataFrame([(int(leaf), int(c)) for leaf, c in cell_of.items()], "leaf bigint, cell bigint")
+    # each block of a cell's vectors meets each block of the queries that visit it; both small tables have a row per leaf at most
+    spread = lambda df, own, other: (
+        df.join(F.broadcast(parts), "cell")
         .withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int"))
         .where(F.col(other) > 0)
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        .select("leaf", "vs", "qs", "vec_id", "v")
     )
 
     def meet(found: pa.Table, asking: pa.Table) -> pa.Table:
-        found, asking = found.combine_chunks(), asking.combine_chunks()
-        if not found.num_rows or not asking.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, own = found["vec_id"].to_numpy(), asking["vec_id"].to_numpy()
-        x, q = (matrix(t["v"].combine_chunks()) for t in (found, asking))
-        who, what, far = _top(q, own, ids, x, k)
-        return pa.table({"query_id": own[who], "vec_id": ids[what], "score": far})
-
-    left = cells(dealt, "vs", "qs").groupBy("leaf", "vs", "qs")
-    right = cells(walked, "qs", "vs").groupBy("leaf", "vs", "qs")
+        found, asking = found.combine_chunks().sort_by("leaf"), asking.combine_chunks()
+        who, what, far = [], [], []
+        if found.num_rows and asking.num_rows:
+            ids, own, leaf = found["vec_id"].to_numpy(), asking["vec_id"].to_numpy(), found["leaf"].to_numpy()
+            x, q = (matrix(t.combine_chunks()["v"].combine_chunks()) for t in (found, asking))
+            for i, visited in enumerate(asking["leaves"].to_pylist()):
+                rows = np.concatenate([np.arange(*np.searchsorted(leaf, [n, n + 1])) for n in visited])
+                _, at, d = _top(q[i : i + 1], own[i : i + 1], ids[rows], x[rows], k)
+                who.append(np.full(len(at), own[i]))
+                what.append(ids[rows[at]])
+                far.append(d)
+        none = np.zeros(0, np.int64)
+        return pa.table({"query_id": np.concatenate([none, *who]), "vec_id": np.concatenate([none, *what]), "score": np.concatenate([np.zeros(0), *far])})
+
+    left = spread(dealt.join(F.broadcast(leaves), "leaf"), "vs", "qs").select("cell", "vs", "qs", "vec_id", "v", "leaf").groupBy("cell", "vs", "qs")
+    right = spread(walked, "qs", "vs").select("cell", "vs", "qs", "vec_id", "v", "leaves").groupBy("cell", "vs", "qs")
     near = left.cogroup(right).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return near.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
