@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from llm.arrays import pieces
 from llm.dom import Node, parse
+from llm.sampling import bounded
 
 #: Pages that training reads, and the longest it takes; both only bound the model's training, not what is extracted.
 SAMPLE, LONGEST = 300, 200_000
@@ -332,7 +333,7 @@ def train(real: list[str], seed: int = 0, layouts: int = LAYOUTS) -> Model:
 def fit(pages: DataFrame, html_column: str = "html", page_id: str = "page_id", sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` pages of at most ``LONGEST`` characters, chosen by a hash of the id."""
     rows = pages.select(pages[page_id].cast("string").alias("id"), pages[html_column].alias("html"))
-    rows = rows.where(F.length("html").between(1, LONGEST)).orderBy(F.xxhash64("id"), "id", "html").limit(sample)
+    rows = bounded(rows.where(F.length("html").between(1, LONGEST)), ["id", "html"], sample)
     return train([r.html for r in rows.collect()])
 
 

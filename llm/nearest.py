@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from hushframe.session import materialize
+from llm.sampling import bounded
 
 SAMPLE = 50_000
 BRANCHES = 12
@@ -159,7 +160,8 @@ def search(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vec
     # a partial limit per task comes before the shuffle, so equal vectors don't pile up
     first = W.partitionBy("v").orderBy("vec_id")
     kept = rows.dropDuplicates(["vec_id", "v"]).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1).drop("__n")
-    chosen = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()  # at most ``sample`` vectors
+    kept = materialize(kept)
+    chosen = bounded(kept, ["vec_id"], sample).toArrow()  # at most ``sample`` vectors
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not chosen.num_rows:
         return spark.createDataFrame([], schema)
@@ -237,7 +239,7 @@ def search(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vec
 
 def calibrate(asked: DataFrame, dealt: DataFrame, tree, k: int, trials: int, recall: float) -> int:
     """The least number of leaf visits whose leaves hold ``recall`` of the true neighbours of the trial queries."""
-    some = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(trials).toArrow()  # at most ``trials`` rows
+    some = bounded(asked, ["vec_id"], trials, salt=1).toArrow()  # at most ``trials`` rows
     if not some.num_rows:
         return 1
     own, q = some["vec_id"].to_numpy(), matrix(some["v"].combine_chunks())

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from hushframe.session import materialize
 from llm.arrays import Texts, byte_values, lower_ascii, pieces, slices
+from llm.sampling import bounded
 
 TOXIC_DOCS, CLEAN_DOCS = 4_000, 8_000
 MIN_DOCS = 4
@@ -144,7 +145,8 @@ def fit(
     """
     known = labels.select(labels[doc_id].cast("bigint").alias("id"), labels[toxic].cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("id").agg(F.max("y").alias("y")).where(learnable(F.col("id")))
-    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, toxic_docs), (0, clean_docs))]
+    known = materialize(known)
+    picked = [bounded(known.where(F.col("y") == y), ["id"], n) for y, n in ((1, toxic_docs), (0, clean_docs))]
     sample = picked[0].unionByName(picked[1])
     # at most toxic_docs + clean_docs rows of 12 bytes
     rows = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
