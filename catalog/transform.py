@@ -388,7 +388,7 @@ _SRC_RENDERED = rendered_sql(
 
 
 def _pseudonymized(spark, sf):
-    docs = _marked(spark, sf)
+    docs = materialize(_marked(spark, sf))  # detected once: the vault, the look-up and the splice read it
     spans = explode_spans(docs, keep=["doc_id", "source"])
     vault = build_vault(spans, ["doc_id", "start"], "source")
     return pseudonymize(docs, vault, ["doc_id"], "source"), vault

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hushframe.functions.spans import splice, value_of
 from hushframe.operators.ordered import lookup, number_rows
 from hushframe.operators.row_vault import PLACEHOLDER, restore_row
+from hushframe.session import materialize
 
 
 def build_vault(spans: DataFrame, order: list[str], scope: str = "scope") -> DataFrame:
@@ -29,7 +30,7 @@ def build_vault(spans: DataFrame, order: list[str], scope: str = "scope") -> Dat
         "scope", "label", "value", "uses", *[F.col(f"first.o{i}").alias(f"__o{i}") for i in range(len(order))]
     )
     numbered = number_rows(flat, ["scope", "label"], [f"__o{i}" for i in range(len(order))], "n")
-    return numbered.select(
+    vault = numbered.select(
         "scope",
         "label",
         "value",
@@ -37,6 +38,8 @@ def build_vault(spans: DataFrame, order: list[str], scope: str = "scope") -> Dat
         F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("placeholder"),
         "uses",
     )
+    # looked up several times in either direction
+    return materialize(vault)
 
 
 def pseudonymize(

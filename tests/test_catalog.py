@@ -14,6 +14,7 @@ from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 SAMPLE = (
     "detect_payment_cards detect_phones resolve_overlaps merge_touching_spans preview_rows build_vault_corpus restore_documents "
     "redact_paths scrub_telemetry apply_policy align_texts summarize_conversations list_page current_exchange_findings "
+    "detect_long_secrets segment_nested_results pseudonymize_null_scope delete_interaction detect_languages search_texts list_page_by_language "
     "summarize_exchanges segment_requests parse_transcript_turns parse_rollout_turns import_counters flush_remainders stream_usage"
 ).split()
 
