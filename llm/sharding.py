@@ -8,7 +8,7 @@ for bytes that move, is solved on a graph of old and new shards only. Each old s
 running sum that Spark computes without gathering a shard in one task, into the blocks the flow asks for.
 ``rewrite`` writes the new shards whose content changed and leaves the others alone.
 
-Defined results: a null text has size 8 and no checksum (null); null ids, equal texts and repeated rows are rows of their
+Defined results: a null text has size 8 and the checksum of an empty text; null ids, equal texts and repeated rows are rows of their
 own and are moved one by one; an empty table gives no rows; other columns play no part, whatever their names.
 """
 
@@ -143,7 +143,7 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", old: Col
     rows = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
         row_size(text).alias("size"),
-        F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
+        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         (old_shard(doc_id) if old is None else old).alias("old"),
         F.xxhash64(doc_id, text).alias("key"),
     )
