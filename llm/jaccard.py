@@ -35,8 +35,8 @@ WORDS = 5
 #: Two texts link when 100 * intersection >= LEAST * union.
 LEAST = 75
 #: Stars go on while the last round would make more than so many pairs for each row of an open list.
-FEW = 64
-MAX_STARS = 6
+FEW = 4
+MAX_STARS = 4
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
