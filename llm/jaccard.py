@@ -36,7 +36,8 @@ WORDS = 5
 LEAST = 75
 #: Stars go on while the last round would make more than so many pairs for each row of an open list.
 FEW = 4
-MAX_STARS = 4
+MAX_STARS = 2
+PIVOTS = 2
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,10 +154,11 @@ def similar(sets: DataFrame) -> DataFrame:
         left, cost, rows = _open_lists(mine)
         if cost <= FEW * rows:
             break
-        # every node against the pivot that most of its open lists have: a pair for each node at most
+        # every node against the pivots that most of its open lists have: PIVOTS pairs for each node at most
         bands = mine.groupBy("h", "band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("node", "comp")).alias("p")).where("c0 <> c1")
         shared = mine.join(bands, ["h", "band"]).where("comp <> p.comp").groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
-        stars = shared.groupBy("node").agg(F.max(F.struct("k", "pivot"))["pivot"].alias("pivot"))
+        rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("k"), "pivot"))
+        stars = shared.withColumn("__n", rank).where(F.col("__n") <= PIVOTS)
         stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         stars = materialize(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
         tested = stars if tested is None else tested.unionByName(stars)
