@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentences are the instances, documents carry the labels.
 
 A sentence's score is a logistic function of its words and of their first bytes (so that compounds of one stem count); a document's score is the noisy-or of its sentences,
-``1 - prod(1 - p)``. Training sees document labels only and back-propagates through the noisy-or, so the blame settles on
+``1 - prod(1 - p)``. A sentence enters it with what its words add to the weight every sentence starts from: one without known
+words, or whose words speak for a clean text, adds nothing, however many there are. Training sees document labels only and back-propagates through the noisy-or, so the blame settles on
 the sentences that explain the label; ``locate`` returns them. Scoring is one pass over whole texts without a shuffle.
 
 The model is fitted on a bounded sample: at most ``toxic_docs`` and ``clean_docs`` labelled documents, chosen by a hash of
@@ -32,7 +33,7 @@ MIN_DOCS = 4
 #: Words whose document counts differ between the classes by less than so many standard errors carry no weight.
 LEAST_Z = 5.0
 VOCABULARY = 20_000
-#: A sentence without any known word starts at this or less, so that length alone never makes a text toxic.
+#: Every sentence starts at this or less; only what its words add to that counts, so that length alone never makes a text toxic.
 LEAST_BIAS = -9.0
 ROUNDS = 150
 SENTENCE_ENDS = b".!?\n"
@@ -89,8 +90,9 @@ def sentences(texts: pa.Array) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarra
     return t, np.concatenate(hashes), np.concatenate(numbers), t.of(last), last
 
 
-def _softplus(z: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0.0, z)
+def _evidence(z: np.ndarray, bias: float) -> np.ndarray:
+    """The log of ``1 - p`` negated, less that of a sentence without known words, and 0 at least."""
+    return np.maximum(np.logaddexp(0.0, z) - np.logaddexp(0.0, bias), 0.0)
 
 
 def train(word: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: np.ndarray, words: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -104,10 +106,12 @@ def train(word: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: n
     m, v = np.zeros(words + 1), np.zeros(words + 1)
     for step in range(1, rounds + 1):
         z = np.bincount(sentence, weights=w[word], minlength=len(document)) + b
-        total = np.maximum(np.bincount(document, weights=_softplus(z), minlength=docs), 1e-9)
+        total = np.maximum(np.bincount(document, weights=_evidence(z, b), minlength=docs), 1e-9)
         slope = np.where(label == 1, -1.0 / np.expm1(np.minimum(total, 50.0)), 1.0) * share
-        dz = np.maximum(slope, -20.0)[document] / (1.0 + np.exp(-z))
-        grad = np.append(np.bincount(word, weights=dz[sentence], minlength=words) + 0.02 * w, dz.sum()) / docs
+        slope = np.maximum(slope, -20.0)[document] * (z >= b)
+        dz = slope / (1.0 + np.exp(-z))
+        db = dz - slope / (1.0 + np.exp(-b))
+        grad = np.append(np.bincount(word, weights=dz[sentence], minlength=words) + 0.02 * w, db.sum()) / docs
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], min(b - move[-1], LEAST_BIAS)
@@ -208,14 +212,14 @@ def fit(
 
 
 def sentence_scores(texts: pa.Array, model: Model) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts and, a value per sentence with a word: its log of ``1 - p`` negated, its text number, its last byte."""
+    """The texts and, a value per sentence with a word: its evidence, its text number, its last byte."""
     t, hashes, number, of, last = sentences(texts)
     weight = model.of(hashes)
     hit = np.flatnonzero(weight)
     _, first = np.unique(np.stack([number[hit].astype(np.uint64), hashes[hit]]), axis=1, return_index=True) if len(hit) else (0, hit)
     hit = hit[first]
     z = np.bincount(number[hit], weights=weight[hit], minlength=len(last)) + model.bias
-    return t, _softplus(z), of, last
+    return t, _evidence(z, model.bias), of, last
 
 
 def text_scores(texts: pa.Array, model: Model) -> np.ndarray:

@@ -273,6 +273,19 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score(table, nothing).collect()} == {0.0} or max(r.score for r in toxicity.score(table, nothing).collect()) < 1e-6
 
 
+def test_length_alone_is_not_toxic(spark):
+    """100,000 lines without known words, or with words of clean texts, are clean; one bad line among them is found."""
+    rng = np.random.default_rng(4)
+    texts = [(i, ". ".join([*(words(int(rng.integers(1 << 30)), 8) for _ in range(6)), "what a vile scumbag" if i % 4 == 0 else "thanks kindly friend"])) for i in range(400)]
+    table = spark.createDataFrame(texts, "doc_id bigint, text string")
+    model = toxicity.fit(table, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id bigint, toxic int"))
+    lines = ["\n".join(f"{i} {said}" for i in range(100_000)) for said in ("qqzzx", "thanks kindly friend")]
+    rows = [(1, lines[0]), (2, lines[1]), (3, lines[0] + "\nwhat a vile scumbag"), (4, "what a vile scumbag")]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert got[1].score == got[2].score == 0 and got[1].predicted == got[2].predicted == 0
+    assert got[3].predicted == got[4].predicted == 1 and got[3].score == pytest.approx(got[4].score)
+
+
 # ---- 8
 
 
