@@ -1,11 +1,14 @@
 """Resharding by minimum-cost flow: from the sizes of old shards and the capacities of new ones to the cheapest transfers.
 
-Rows carry their old shard. New shards get equal capacities (law ``bytes``). A row is large if it holds more than
-``1 / FINE`` of a capacity; by arithmetic there are at most ``FINE`` times the number of shards of them, so they come to the
-driver and are placed one by one, each in its old shard while it fits, else where most room is left. All other rows move in
-blocks: the flow from what is left of the old shards to what is left of the capacities, at cost 0 for bytes that stay and 1
-for bytes that move, is solved on a graph of old and new shards only. Each old shard's rows are then cut, in order of a
-running sum that Spark computes without gathering a shard in one task, into the blocks the flow asks for.
+Rows carry their old shard. New shards get equal capacities (law ``bytes``). The flow of all bytes from the old shards to
+the capacities, at cost 0 for bytes that stay and 1 for bytes that move, is solved on a graph of old and new shards only. It
+says how many bytes of each old shard stay and how many each new shard takes from others; bytes that move cost the same
+wherever they go. A row is large if it holds more than ``1 / FINE`` of a capacity; by arithmetic there are at most ``FINE``
+times the number of shards of them, so they come to the driver and are placed whole inside those amounts, the largest first,
+each where it is while it fits into what stays, else where most is still to be taken. All other rows move in blocks: the same
+flow of what is left of the supplies and capacities. Each old shard's rows are cut, in order of a running sum that Spark
+computes without gathering a shard in one task, into the blocks the flow asks for. So the bytes that move are the least
+possible but for row boundaries.
 ``rewrite`` writes the new shards whose content changed and leaves the others alone.
 
 Defined results: a null text has size 8 and the checksum of an empty text; null ids, equal texts and repeated rows are rows of their
@@ -100,25 +103,27 @@ def reshard(rows: DataFrame, shards: int = SHARDS, fine: int = FINE) -> DataFram
     # at most shards * fine rows, since each holds more than total / shards / fine bytes
     ranked = number_rows(rows.where(F.col("size") > least), ["old"], ["size", "key"], "__rank") if total else rows.limit(0).withColumn("__rank", F.lit(0))
     large = materialize(ranked)
-    room = list(target)
     olds = sorted(sums)
     home = {o: o if 0 <= o < shards else None for o in olds}
-    chosen = []
+    cost = [[0 if home[o] == j else 1 for j in range(shards)] for o in olds]
+    whole = min_cost_flow([sums[o] for o in olds], target, cost) if olds else []
+    stay = {o: row[home[o]] for o, row in zip(olds, whole) if home[o] is not None}
+    take = [sum(row[j] for o, row in zip(olds, whole) if home[o] != j) for j in range(shards)]
+    capacity, chosen = list(target), []
     for r in sorted(large.select("old", "size", "__rank").collect(), key=lambda r: (-r["size"], r["old"], r["__rank"])):
-        j = home[r["old"]]
-        if j is None or room[j] < r["size"]:
-            j = max(range(shards), key=lambda k: (room[k], -k))
-        room[j] -= r["size"]
-        chosen.append((r["old"], r["__rank"], j))
-        sums[r["old"]] -= r["size"]
-    capacity = [max(0, x) for x in room]
-    short = sum(sums.values()) - sum(capacity)  # what large rows took beyond a capacity is missing or left over elsewhere
-    while short < 0:
-        j = max(range(shards), key=lambda k: capacity[k])
-        cut = min(capacity[j], -short)
-        capacity[j] -= cut
-        short += cut
-    flow = min_cost_flow([sums[o] for o in olds], capacity, [[0 if home[o] == j else 1 for j in range(shards)] for o in olds]) if olds else []
+        o, size = r["old"], r["size"]
+        j = max(range(shards), key=lambda k: (take[k], -k))
+        if o in stay and stay[o] >= min(size, take[j]):
+            j = home[o]
+            stay[o] -= size
+        else:
+            take[j] -= size
+        capacity[j] -= size
+        chosen.append((o, r["__rank"], j))
+        sums[o] -= size
+    # a row larger than any room leaves less than nothing there, and more room elsewhere than the other rows fill
+    capacity = [max(0, x) for x in capacity]
+    flow = min_cost_flow([sums[o] for o in olds], capacity, cost) if olds else []
     blocks, last = [], {}
     for o, row in zip(olds, flow):
         begin = 0

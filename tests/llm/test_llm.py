@@ -311,6 +311,32 @@ def test_sharding(spark, docs, empty, tmp_path):
     assert back.count() == changed.agg(F.sum("rows")).first()[0] and {"doc_id", "text", "shard"} == set(back.columns)
 
 
+@pytest.mark.parametrize("name", ["hot", "hot and small rows", "no home", "giant row"])
+def test_sharding_moves_the_fewest_bytes(spark, name):
+    """Bytes that leave an old shard beyond its capacity, and no others but for row boundaries."""
+    rng = np.random.default_rng(5)
+    layouts = {
+        "hot": (3, [(0, 5000)] * 16 + [(1, 1000)] * 10),
+        "hot and small rows": (4, [(0, int(n)) for n in rng.integers(10, 9000, 300)] + [(1, 7)] * 4000 + [(2, 500)] * 90),
+        "no home": (4, [(7, int(n)) for n in rng.integers(10, 900, 200)] + [(1, 400)] * 150 + [(0, 100)] * 60),
+        "giant row": (3, [(0, 90_000)] + [(0, 100)] * 30 + [(1, 100)] * 30 + [(2, 100)] * 30),
+    }
+    shards, rows = layouts[name]
+    table = spark.createDataFrame([(o, n, k) for k, (o, n) in enumerate(rows)], "old int, size bigint, key bigint")
+    got = sharding.reshard(table, shards).collect()
+    assert sorted((r.old, r.size, r.key) for r in got) == sorted((o, n, k) for k, (o, n) in enumerate(rows))
+    total, held, largest = sum(n for _, n in rows), {}, max(n for _, n in rows)
+    for o, n in rows:
+        held[o] = held.get(o, 0) + n
+    least = sum(n - min(n, -(-total // shards) if o < shards else 0) for o, n in held.items())
+    moved = sum(r.size for r in got if r.old != r.shard)
+    if name in ("hot", "giant row"):
+        assert moved == {"hot": 50_000, "giant row": 3_000}[name]
+    assert moved <= least + largest
+    filled = [sum(r.size for r in got if r.shard == j) for j in range(shards)]
+    assert max(filled) <= -(-total // shards) + largest and (name != "hot" or filled == [30_000] * 3)
+
+
 # ---- 3
 
 
