@@ -4,7 +4,7 @@ The tree is fitted in numpy on at most ``sample`` vectors (chosen by a hash of t
 parameter; every vector is then dealt to a leaf. A query walks the tree with a priority queue of branches by distance to
 their centres and visits the leaves it meets first. How many is calibrated: for at most ``trials`` queries the true
 neighbours among all rows are found by a full scan in blocks, and visits are widened until ``recall`` of them lie in the
-visited leaves. Queries and vectors then meet by leaf, in blocks of bounded size on both sides, and distances are computed
+visited leaves. A query whose leaves hold fewer than ``k`` other ids visits more until they do. Queries and vectors then meet by leaf, in blocks of bounded size on both sides, and distances are computed
 in double precision on the original vectors.
 
 Equal vectors are equally near, so of each group of them only the ``k + 1`` with the smallest ids can ever be returned; the
@@ -12,7 +12,7 @@ others leave before anything is shuffled by leaf, which keeps a vector that fill
 
 Defined results: vectors that are null, zero, or hold nulls or non-finite values take no part, nor do null ids and vectors
 whose length is not the most frequent one (ties: the longer); rows with the same id and vector count once; rows with the
-query's id are never its neighbours; with fewer candidates all are returned; ties go to the smaller id; other columns play
+query's id are never its neighbours; an id with several vectors is as near as its nearest one; with fewer candidates all are returned; ties go to the smaller id; other columns play
 no part, whatever their names.
 """
 
@@ -69,14 +69,16 @@ class Tree:
             todo += [(int(c), rows[near == i]) for i, c in enumerate(self.children[node])]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def visit(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first, and more until the ``sizes`` of the leaves add up to ``least``."""
         found: list[int] = []
+        held = 0
         queue = [(0.0, 0)]
-        while queue and len(found) < most:
+        while queue and (len(found) < most or held < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 found.append(int(self.leaf[node]))
+                held += sizes.get(found[-1], 0) if sizes else 0
                 continue
             kids = self.children[node]
             far = ((self.centres[kids] - q) ** 2).sum(1)
@@ -146,6 +148,10 @@ def _top(q: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int)
             edge = np.partition(d[other], k - 1)[k - 1]
             other = other[d[other] <= edge]
         best = other[np.lexsort((ids[other], d[other]))][:k]
+        if len(np.unique(ids[best])) < len(best):  # an id with several vectors counts once
+            other = np.flatnonzero(ids != own[i])
+            other = other[np.lexsort((ids[other], d[other]))]
+            best = other[np.sort(np.unique(ids[other], return_index=True)[1])][:k]
         who.append(np.full(len(best), i))
         what.append(best)
         how.append(d[best])
@@ -176,6 +182,9 @@ def search(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vec
     visits = calibrate(asked, dealt, tree, k, trials, recall)
 
     sizes = {r.leaf: r.k for r in dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).collect()}  # a row per leaf of the tree
+    # each id in one leaf only, so that the sum over leaves is at most their number of distinct ids
+    firsts = dealt.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"))
+    firsts = {r.leaf: r.k for r in firsts.collect()}
     # neighbouring leaves share a cell of at most BLOCK vectors; a larger leaf is a cell of its own, in several blocks
     cell_of, held, cell = {}, 0, 0
     for leaf in sorted(sizes):
@@ -191,7 +200,7 @@ def search(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vec
             rows, cells, lists = [], [], []
             for i, q in enumerate(matrix(b.column(1))):
                 by_cell: dict[int, list[int]] = {}
-                for leaf in tree.value.visit(q, visits):
+                for leaf in tree.value.visit(q, visits, firsts, k + 1):
                     if leaf in cell_of:
                         by_cell.setdefault(cell_of[leaf], []).append(leaf)
                 rows += [i] * len(by_cell)
@@ -234,7 +243,8 @@ def search(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vec
     right = spread(walked, "qs", "vs").select("cell", "vs", "qs", "vec_id", "v", "leaves").groupBy("cell", "vs", "qs")
     near = left.cogroup(right).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def calibrate(asked: DataFrame, dealt: DataFrame, tree, k: int, trials: int, recall: float) -> int:

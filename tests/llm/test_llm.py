@@ -392,6 +392,19 @@ def test_nearest(spark):
     assert nearest.search(few.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_every_query_gets_all_its_rows(spark):
+    """Leaves with few vectors, and an id with many: still ten rows for each query, each of another id."""
+    x = np.random.default_rng(6).normal(size=(200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, (x[0] + 1e-3 * n).tolist()) for n in range(1, 30)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = nearest.search(table, lambda i: i % 5 == 0, recall=0.01).collect()
+    for q in [*range(0, 200, 5), 300]:
+        found = {r.vec_id: r for r in got if r.query_id == q}
+        assert len(found) == 10 and {r.rank for r in found.values()} == set(range(1, 11)), q
+    near = next(r for r in got if r.query_id == 0 and r.vec_id == 300)
+    assert near.rank == 1 and near.score == pytest.approx(1e-3 * 8**0.5)
+
+
 # ---- all
 
 
