@@ -198,23 +198,31 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     rows = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].alias("text"))
     sets = materialize(meet(rows, shingles, bucket_bits(rows, "text", 6), once=True))
+    return _named(sets, sets).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _named(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (id, n, sig, any other columns) of ``sets`` with the least id of each one's component."""
     comp = similar(sets)
-    groups = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("least"))
+    groups = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("least"))
     named = groups.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     names = named.join(least, "comp").select("sig", "component_id")
-    out = sets.join(names, "sig", "left")
-    return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
-    )
+    return rows.join(names, "sig", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose component has a lesser id, and with each (id, text) once. Null ids stay."""
-    gone = classes(docs, text, doc_id).where("component_id < doc_id").select("doc_id").distinct()
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("same"))
-    same = W.partitionBy("doc_id", "same").orderBy("same")
-    kept = left.join(gone, "doc_id", "left_anti").withColumn("__n", F.row_number().over(same)).where("__n = 1")
+    # rows go by (id, text), so a text of its own stays when another row of its id goes
+    key = F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text))
+    rows = docs.select(key.alias("id"), F.col(text).alias("text"))
+    sets = materialize(meet(rows, shingles, bucket_bits(rows, "text", 6), once=True))
+    ids = docs.select(key.alias("key"), F.col(doc_id).cast("bigint").alias("id")).distinct()
+    named = _named(sets, sets.select(F.col("id").alias("key"), "n", "sig").join(ids, "key"))
+    gone = named.where("component_id < id").select("key").distinct()
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    same = W.partitionBy("key").orderBy("key")
+    kept = left.join(gone, "key", "left_anti").withColumn("__n", F.row_number().over(same)).where("__n = 1")
     return kept.select("row.*")
 
 

@@ -132,6 +132,14 @@ def test_jaccard_group_of_near_copies(spark):
     assert by_row(jaccard.classes(df)) == slow_classes(rows)
 
 
+def test_keep_one_with_a_repeated_id(spark):
+    """Of two rows with one id, only the near copy of a smaller id goes."""
+    base, other = words(12, 100), words(13, 100)
+    rows = [(1, base), (2, base + " end"), (2, other), (2, other), (None, base)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert by_row(kept) == sorted([(1, base), (2, other), (None, base)], key=repr)
+
+
 # ---- 5
 
 
