@@ -8,9 +8,12 @@ from dataclasses import dataclass, field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; only the closing tag ends them.
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg noframes xmp".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br"
+    # formulas and what stands in for objects are text of the block around them
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover"
+    " munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml object canvas".split()
 )
 #: An opening tag of the key closes an open tag of these kinds, unless one of the stops lies between.
 _P_ENDERS = frozenset(
@@ -27,6 +30,8 @@ _IMPLIED = {
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: The slash at the end of a tag belongs to an unquoted value.
+_VALUE_SLASH = re.compile(r"=\s*[^\s\"']*/\Z")
 _WORD = re.compile(r"[a-z]+")
 _NAMED = ("class", "id", "role", "itemprop", "aria-label", "data-role")
 
@@ -106,7 +111,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in RAW:
             # textarea and title hold text that is no part of a page's blocks
+            if tag == "svg" and m[3].endswith("/") and not _VALUE_SLASH.search(m[3]):
+                continue
             stop = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(page, at)
+            if stop is None and tag == "svg":
+                continue  # the blocks after it end it
             if stop is None:
                 at = end
             else:

@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import corpus_pipeline  # noqa: E402
 from compare import compare, connect  # noqa: E402
-from llm import extract, jaccard, language_id, nearest, packing, quality, registry, sharding, substrings, toxicity  # noqa: E402
+from llm import dom, extract, jaccard, language_id, nearest, packing, quality, registry, sharding, substrings, toxicity  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, bucket int, spans string, size int"
 
@@ -362,6 +362,16 @@ def test_extract(spark):
     assert extract.extract(pages.limit(0), extract.train([])).count() == 0
 
 
+def test_formulas_and_objects_are_text():
+    runs = lambda page: [t for _, t in dom.parse(page)[1]]
+    assert runs("<p>One <svg viewBox='0 0 1 1'/> two</p><p>three</p>") == ["One two", "three"]
+    assert runs("<p>One <math/>two</p><p>three</p>") == ["One two", "three"]
+    assert runs("<p>a <svg><text>no</text></svg>b</p>") == ["a b"] and runs("<p>a <svg class=x/><text>no</text></svg>b</p>") == ["a b"]
+    assert runs("<p>a</p><svg><p>b</p>") == ["a", "b"]
+    assert runs("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>") == ["So x=2 holds."]
+    assert runs("<p>See <object data=a>the map</object> or <canvas>the chart</canvas>.</p>") == ["See the map or the chart."]
+
+
 def test_decode_keeps_no_child_of_a_dropped_node():
     rng = np.random.default_rng(0)
     nodes = [extract.Node("page", -1, 0)]
