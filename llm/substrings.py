@@ -2,13 +2,13 @@
 
 1. Anchors. The 26 windows of 25 bytes in any 50-byte string have a least hash; equal strings have it at the same place.
    ``meeting.meet`` tells each text which of its anchors other texts hold; only the surroundings of those can repeat.
-2. Shards. Each piece of texts sends, per anchor, its sorted suffixes around it: all 50-byte strings through the anchor lie
+2. Shards. Each piece of texts sends, per anchor, its suffixes around it, in order of hashes and not of symbols: all 50-byte strings through the anchor lie
    in 25 bytes on either side of it. Equal surroundings of a shard travel once, under the smallest document; the shard settles its other ones.
    Suffixes go to the bucket of their anchor, so equal strings meet and no bucket needs the whole corpus.
-3. Merge. A bucket merges the shards' columns (the Burrows-Wheeler columns of aligned suffixes) by iterative interleave
-   refinement: round h takes the next symbol of every suffix in the present interleave and moves it stably inside its
+3. Merge. A bucket orders the suffixes of all shards by iterative interleave refinement, one symbol a round from the anchor on: round h takes the next symbol of every suffix in the present interleave and moves it stably inside its
    block. Blocks are never joined again, so the round in which a boundary appears is the common prefix there. The same
-   rounds run to the left. Each shard's own order is only interleaved, suffixes are not sorted anew.
+   rounds run to the left. No shard builds a Burrows-Wheeler transform or sorts by symbols, so this is one radix sort of a
+   bucket's suffixes and no merge of sorted shards.
 4. Repeated intervals. For each of the 26 starts, suffixes that share enough symbols on both sides form an interval; where
    it holds a smaller document, the start is a repeat. Starts become spans, spans of a text are united on its row.
 
