@@ -412,8 +412,7 @@ def digests(coded: DataFrame) -> DataFrame:
         decimal: list[str] = []
         for batch in batches:
             flat, ends = _lists(batch.column(1))
-            while len(decimal) <= (int(flat.max()) if len(flat) else 0):
-                decimal.append(str(len(decimal)))
+            decimal += map(str, range(len(decimal), int(flat.max(initial=-1)) + 1))
             counts, ids = np.diff(np.append(0, ends)), []
             for a, b in zip((ends - counts).tolist(), ends.tolist()):
                 ids.append(hashlib.sha256(" ".join([decimal[i] for i in flat[a:b].tolist()]).encode()).hexdigest())
