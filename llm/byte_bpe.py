@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.session import materialize
-from llm.arrays import pieces
+from llm.arrays import PIECE_BYTES, pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A word is shared when it holds more than one part in so many of all occurrences, so there are fewer shared words than this.
@@ -41,11 +41,11 @@ SHARED = 1 << 17
 #: Longer words are never shared.
 SHARED_BYTES = 32
 #: Bytes of text whose unknown words are replayed together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Bytes of words in one inverted index; a longer word is alone in its own.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 20
 #: Words and bytes of words a task remembers or counts before it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 16 << 20
+REMEMBERED, REMEMBERED_BYTES = 250_000, 8 << 20
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
@@ -147,28 +147,30 @@ class Vocabulary:
             ids[at : at + 2] = [int(made[at])]
         return ids
 
-    def replay(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of every word."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        rest = []
-        for i, word in enumerate(words):
-            rank = self.ranks.get(word)
-            if rank is None and word:
-                rest.append(i)
-            else:
-                out[i] = np.array([] if rank is None else [rank], np.int32)
-        at = 0
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each word has."""
+        whole = [self.ranks.get(word, -1) for word in words]
+        length = np.ones(len(words), np.int64)
+        rest = [i for i, rank in enumerate(whole) if rank < 0]
+        found, at = [], 0
         while at < len(rest):
             size, end = 0, at
             while end < len(rest) and (end == at or size + len(words[rest[end]]) <= INDEX_BYTES):
                 size += len(words[rest[end]])
                 end += 1
-            for i, ids in zip(rest[at:end], self._replay([words[i] for i in rest[at:end]])):
-                out[i] = ids
+            ids, counts = self._replay([words[i] for i in rest[at:end]])
+            found.append(ids)
+            length[rest[at:end]] = counts
             at = end
-        return out
-
-    def _replay(self, words: list[bytes]) -> list[np.ndarray]:
+        out = np.empty(int(length.sum()), np.int32)
+        token = np.array(whole, np.int32) >= 0
+        of = np.repeat(token, length)
+        out[of] = np.array(whole, np.int32)[token]
+        if found:
+            out[~of] = np.concatenate(found)
+        return out, length
+
+    def _replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(w) for w in words], np.int64)
         first = np.cumsum(size + 1) - size - 1
         n = int(size.sum()) + len(words)
@@ -235,11 +237,13 @@ class Vocabulary:
                     positions.append(p)
         stays = ~gone & (symbol != self.none)
         total = np.append(0, np.cumsum(stays))
-        ids = symbol[stays]
-        out = [ids[a:b] for a, b in zip(total[first].tolist(), total[first + size].tolist())]
-        for word in redo:
-            out[word - 1] = np.array(self.alone(words[word - 1]), np.int32)
-        return out
+        ids, length = symbol[stays], total[first + size] - total[first]
+        if redo:
+            lists = np.split(ids, np.cumsum(length)[:-1])
+            for word in redo:
+                lists[word - 1] = np.array(self.alone(words[word - 1]), np.int32)
+            ids, length = np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
+        return ids, length
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids end to end, and how many of them each id gives."""
@@ -272,8 +276,11 @@ def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), counts
 
 
-def shared_words(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, shared: int = SHARED) -> dict[bytes, np.ndarray]:
-    """Ids of the words that hold more than 1 / ``shared`` of all occurrences of words of ``SHARED_BYTES`` or fewer."""
+Shared = tuple[list[bytes], np.ndarray, np.ndarray]
+
+
+def shared_words(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, shared: int = SHARED) -> Shared:
+    """The words, their ids in a row and how many each has, for words that hold more than 1 / ``shared`` of all occurrences of words of ``SHARED_BYTES`` or fewer."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -305,65 +312,70 @@ def shared_words(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = vocabulary_of(vocabulary)
         words = [w for batch in batches for w in batch.column(0).to_pylist()]  # fewer than ``shared`` of ``SHARED_BYTES``
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([x.tobytes() for x in merges.replay(words)], pa.binary())], ["word", "ids"])
+        ids, length = merges.replay(words)
+        ends = np.cumsum(length)
+        rows = [ids[a:b].tobytes() for a, b in zip((ends - length).tolist(), ends.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(rows, pa.binary())], ["word", "ids"])
 
     rows = chosen.mapInArrow(replay, "word binary, ids binary").toArrow()
-    return dict(zip(rows["word"].to_pylist(), [np.frombuffer(x, np.int32) for x in rows["ids"].to_pylist()]))
+    ids = rows["ids"].to_pylist()
+    return rows["word"].to_pylist(), np.frombuffer(b"".join(ids), np.int32), np.array([len(x) // 4 for x in ids], np.int64)
 
 
 class Encoder:
     """The ids of texts, block by block; words it has met are not replayed again until its memory is full."""
 
-    def __init__(self, merges: Vocabulary, shared: dict[bytes, np.ndarray]):
+    def __init__(self, merges: Vocabulary, shared: Shared):
         self.merges, self.shared = merges, shared
         self._reset()
 
     def _reset(self) -> None:
-        self.slot = {word: i for i, word in enumerate(self.shared)}
-        self.ids = list(self.shared.values())
+        words, self.ids, self.length = self.shared
+        self.slot = {word: i for i, word in enumerate(words)}
         self.size = 0
 
-    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([len(x) for x in self.ids], np.int64), np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
-
     def block(self, parts: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each array of texts: all ids in a row, and the number of ids of each text."""
-        if len(self.slot) - len(self.shared) > REMEMBERED or self.size > REMEMBERED_BYTES:
+        if len(self.slot) - len(self.shared[0]) > REMEMBERED or self.size > REMEMBERED_BYTES:
             self._reset()
         read, new = [], []
+        slot = self.slot
         for texts in parts:
             words, index, counts = _words(texts)
-            slots = np.empty(len(words), np.int64)
+            slots = np.empty(len(words), np.int32)
             for i, word in enumerate(words):
-                at = self.slot.get(word)
+                at = slot.get(word)
                 if at is None:
-                    at = self.slot[word] = len(self.slot)
+                    at = slot[word] = len(slot)
                     new.append(word)
                 slots[i] = at
-            read.append((slots[index].astype(np.int32), counts))
-        self.ids += self.merges.replay(new)
+            read.append((slots[index], counts))
+        ids, length = self.merges.replay(new)
+        self.ids, self.length = np.concatenate([self.ids, ids]), np.concatenate([self.length, length])
         self.size += sum(map(len, new))
-        length, flat = self._flat()
-        begin = np.cumsum(length) - length
+        begin = np.cumsum(self.length) - self.length
         for slots, counts in read:
-            size = length[slots]
+            size = self.length[slots]
             step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            ids = flat[np.repeat(begin[slots], size) + step]
+            ids = self.ids[np.repeat(begin[slots], size) + step]
             upto = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
             yield ids, np.diff(upto)
 
 
-def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, shared: int = SHARED) -> DataFrame:
-    """doc_id and ids (array of int) of every row."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoding(docs: DataFrame, text: str, doc_id: str, vocabulary: str, shared: int) -> tuple[DataFrame, Callable[[Batches], Batches]]:
+    """The rows to encode and what a task does with them: (doc_id, text) batches to (doc_id, ids) batches."""
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(shared_words(rows, "text", vocabulary, shared))  # fewer than ``shared`` short words
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Batches) -> Batches:
         encoder = Encoder(vocabulary_of(vocabulary), common.value)
         waiting: list[pa.RecordBatch] = []
         size = 0
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> Batches:
             for part, (ids, counts) in zip(waiting, encoder.block([p.column(1) for p in waiting])):
                 offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
@@ -378,6 +390,12 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
         if waiting:
             yield from done()
 
+    return rows, work
+
+
+def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, shared: int = SHARED) -> DataFrame:
+    """doc_id and ids (array of int) of every row."""
+    rows, work = _encoding(docs, text, doc_id, vocabulary, shared)
     return rows.mapInArrow(work, "doc_id bigint, ids array<int>")
 
 
@@ -387,45 +405,66 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
+def _decoding(at: int, name: str, vocabulary: str) -> Callable[[Batches], Batches]:
+    """What a task does to add the bytes of the ids in column ``at``, some rows at a time."""
+
+    def work(batches: Batches) -> Batches:
+        merges = vocabulary_of(vocabulary)
+        for batch in batches:
+            for part in _rows_of(batch, at):
+                flat, ends = _lists(part.column(at))
+                data, size = merges.decode(flat)
+                cut = np.append(0, np.cumsum(size))[np.append(0, ends)]
+                column = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+                yield pa.RecordBatch.from_arrays([*part.columns, column.cast(pa.binary())], [*part.schema.names, name])
+
+    return work
+
+
+def _rows_of(batch: pa.RecordBatch, at: int) -> Batches:
+    """Slices of a batch with about as many ids as a piece of text has; one row at least."""
+    if not batch.num_rows:
+        return
+    upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique([0, *np.searchsorted(upto, np.arange(0, upto[-1], PIECE_BYTES // 2)), batch.num_rows]).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def decode(coded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, name: str = "decoded") -> DataFrame:
     """``coded`` plus the bytes of its ids; a null row of ids gives no bytes."""
-    names = coded.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields] + [f"`{name}` binary"])
-    at = names.index(ids)
+    return coded.mapInArrow(_decoding(coded.columns.index(ids), name, vocabulary), schema)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = vocabulary_of(vocabulary)
-        for batch in batches:
-            flat, ends = _lists(batch.column(at))
-            data, size = merges.decode(flat)
-            cut = np.append(0, np.cumsum(size))[np.append(0, ends)]
-            column = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, column.cast(pa.binary())], [*names, name])
 
-    return coded.mapInArrow(work, schema)
+def _digests(batches: Batches) -> Batches:
+    """(doc_id, ids, decoded) batches to doc_id, n_tokens and the digests of the decimal ids and of the decoded bytes."""
+    decimal: list[str] = []
+    for batch in batches:
+        flat, ends = _lists(batch.column(1))
+        decimal += map(str, range(len(decimal), int(flat.max(initial=-1)) + 1))
+        counts, ids = np.diff(np.append(0, ends)), []
+        for a, b in zip((ends - counts).tolist(), ends.tolist()):
+            ids.append(hashlib.sha256(" ".join([decimal[i] for i in flat[a:b].tolist()]).encode()).hexdigest())
+        back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(counts), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        )
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the digests of the decimal ids and of the decoded bytes, from ``encode`` and ``decode``."""
+def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, shared: int = SHARED) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, decoded again and digested in one worker."""
+    rows, encoding = _encoding(docs, text, doc_id, vocabulary, shared)
+    decoding = _decoding(1, "decoded", vocabulary)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal: list[str] = []
-        for batch in batches:
-            flat, ends = _lists(batch.column(1))
-            decimal += map(str, range(len(decimal), int(flat.max(initial=-1)) + 1))
-            counts, ids = np.diff(np.append(0, ends)), []
-            for a, b in zip((ends - counts).tolist(), ends.tolist()):
-                ids.append(hashlib.sha256(" ".join([decimal[i] for i in flat[a:b].tolist()]).encode()).hexdigest())
-            back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            )
+    def work(batches: Batches) -> Batches:
+        return _digests(decoding(encoding(batches)))
 
-    return coded.select("doc_id", "ids", "decoded").mapInArrow(work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op11_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op11_byte_bpe": op11_byte_bpe}
