@@ -3,7 +3,7 @@
 1. Anchors. The 26 windows of 25 bytes in any 50-byte string have a least hash; equal strings have it at the same place.
    ``meeting.meet`` tells each text which of its anchors other texts hold; only the surroundings of those can repeat.
 2. Shards. Each piece of texts sends, per anchor, its suffixes around it, in order of hashes and not of symbols: all 50-byte strings through the anchor lie
-   in 25 bytes on either side of it. Equal surroundings of a shard travel once, under the smallest document; the shard settles its other ones.
+   in 25 bytes on either side of it. Equal surroundings of one anchor in a shard travel once, under the smallest document; the shard settles its other ones.
    Suffixes go to the bucket of their anchor, so equal strings meet and no bucket needs the whole corpus.
 3. Merge. A bucket orders the suffixes of all shards by iterative interleave refinement, one symbol a round from the anchor on: round h takes the next symbol of every suffix in the present interleave and moves it stably inside its
    block. Blocks are never joined again, so the round in which a boundary appears is the common prefix there. The same
@@ -117,7 +117,8 @@ def _shard(part: pa.RecordBatch, bits: int) -> pa.RecordBatch:
     same = window_hashes(byte_values(wide.ravel()), begin, begin + wide.shape[1]) if len(h) else h
     order = np.lexsort((doc, same, h))
     new = np.ones(len(h), bool)
-    new[1:] = same[order[1:]] != same[order[:-1]]
+    # equal surroundings of another anchor are another string
+    new[1:] = (same[order[1:]] != same[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
     entry = np.cumsum(new) - 1
     first = order[new]
     head = doc[first]
@@ -272,7 +273,8 @@ def cuts(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame,
     named = named.distinct().join(least, "same").select("key", (F.col("doc") > F.col("least")).alias("whole"))
     whole = named.where("whole")
     bits = bucket_bits(docs, text, BYTES_PER_ANCHOR)
-    firsts = body.join(named.where("NOT whole").select("key"), "key").select("key", "row")
+    # meet() names rows by their place, so a task that is run again must see them in the same order
+    firsts = body.join(named.where("NOT whole").select("key"), "key").select("key", "row").sortWithinPartitions("key")
     shared = meet(firsts, _keys, bits, once=False, inside=text).where("shared > 0").select(F.col("id").alias("key"), "keys").dropDuplicates(["key"])
     sending = body.join(shared, "key").select("key", "row", "keys")
 

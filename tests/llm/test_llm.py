@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ import corpus_pipeline  # noqa: E402
 from compare import compare, connect  # noqa: E402
 from llm import dom, extract, jaccard, language_id, nearest, packing, quality, registry, sharding, substrings, toxicity  # noqa: E402
 
+from llm.meeting import pack as jaccard_pack  # noqa: E402
+
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, bucket int, spans string, size int"
 
 
@@ -162,6 +165,47 @@ def slow_dedup(rows):
     return sorted(out, key=repr)
 
 
+def templates(seed: int) -> list[tuple[int, str]]:
+    """Families of texts with one left and right side and many middles that are anchors themselves, some twice in one text."""
+    rng = np.random.default_rng(seed)
+    draw = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    rows = []
+    for _ in range(3):
+        left, right = draw(26), draw(26)
+        middles = []
+        while len(middles) < 40:
+            some = draw(25)
+            if 26 in substrings.anchors(pa.array([left + some + right]))[2]:
+                middles.append(some)
+        rows += [left + m + right + end for m in middles for end in ("", "!")]
+        rows += [left + a + right + draw(9) + left + b + right for a, b in zip(middles[::2], middles[1::2])]
+    return [(int(i), rows[j]) for i, j in enumerate(rng.permutation(len(rows)))]
+
+
+@pytest.mark.parametrize("piece_bytes", [1 << 20, 4000])
+def test_suffix_dedup_of_templates(spark, monkeypatch, piece_bytes):
+    monkeypatch.setattr(substrings.pieces, "__defaults__", (piece_bytes,))
+    rows = templates(3)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert by_row(substrings.dedup(table)) == slow_dedup(rows)
+
+
+def test_shard_keeps_anchors_apart():
+    """Equal surroundings, different anchors: every start that the shard settles or the merge finds is a real repeat."""
+    rows = sorted(templates(4))
+    t, h, place, of = substrings.anchors(pa.array([x for _, x in rows]))
+    keys = [jaccard_pack(np.unique(h[of == i] >> np.uint64(64 - 48))) for i in range(len(rows))]
+    part = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([i for i, _ in rows]), pa.array(keys, pa.binary()), pa.array([x for _, x in rows])], ["key", "doc", "keys", "text"])
+    for bits in (0, 4, 9):
+        sent = substrings._shard(part, bits)
+        spans = [substrings._merge(pa.table({"body": pa.array([b])})).to_pylist() for b in sent.column(1).to_pylist()]
+        covered = {}
+        for s in sum(spans, []):
+            covered.setdefault(s["key"], set()).update(range(s["a"], s["b"]))
+        removed = {i: n for i, _, n, *_ in slow_dedup(rows)}
+        assert {i: len(covered.get(i, ())) for i in range(len(rows))} == removed
+
+
 def test_suffix_dedup(docs, empty):
     assert by_row(substrings.dedup(docs)) == slow_dedup(awkward())
     assert substrings.dedup(empty).count() == 0
