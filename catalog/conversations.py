@@ -14,7 +14,7 @@ from hushframe.operators.policy import policy
 from hushframe.operators.redact import json_escape
 from hushframe.plans import imports as im
 from hushframe.plans.language import detect_language, fit_profiles
-from hushframe.plans.live import judge_hooks, judge_requests
+from hushframe.plans.live import judge_hooks, judge_requests, rewrite_exchanges
 from hushframe.session import materialize
 from hushframe.sources import requests as rq
 from hushframe.sources import transcripts as tr
@@ -212,6 +212,53 @@ def rehydrated(spark, sf):
     return rows.select("request_id", F.explode("texts").alias("t")).filter("t.category = 'assistant'").select("request_id", "t.original")
 
 
+_RENDERED = f"""r AS ({rendered_sql(pieces_sql(_SEG_SRC, "k", "text", WORD),
+      "SELECT w.key, w.value, CASE w.label WHEN 'DE_WORD' THEN '[REDACTED]' WHEN 'LA_WORD' THEN fv.placeholder ELSE w.value END AS name FROM (SELECT DISTINCT key, doc_id, value, label FROM w) w LEFT JOIN fv ON fv.scope = w.doc_id AND fv.value = w.value")})"""
+# line i of a document stands in segment 1 + i + (i + 1) // 3, its tool call in the next one
+_BODIES = """x AS (SELECT doc_id, i, doc_id % 3 AS f, to_json(l)::VARCHAR AS raw, to_json(a.rendered)::VARCHAR AS t, to_json(b.rendered)::VARCHAR AS u
+  FROM ln JOIN r a ON a.key = doc_id * 100000 + 1 + i + (i + 1) // 3 LEFT JOIN r b ON b.key = doc_id * 100000 + 2 + i + (i + 1) // 3),
+m AS (SELECT doc_id, string_agg(CASE
+  WHEN f = 0 AND i % 3 = 0 THEN '{"role":"user","content":' || t || '}'
+  WHEN f = 0 AND i % 3 = 1 THEN '{"role":"assistant","content":[{"type":"thinking","thinking":' || raw || ',"text":"never"},{"type":"text","text":' || t || '},{"type":"tool_use","input":{"n":1,"cmd":[' || u || ']}}]}'
+  WHEN f = 0 THEN '{"role":"user","content":[{"type":"tool_result","content":[{"type":"text","text":' || t || '}]}]}'
+  WHEN f = 1 AND i % 3 = 0 THEN '{"role":"user","content":[{"type":"text","text":' || t || '}]}'
+  WHEN f = 1 AND i % 3 = 1 THEN '{"role":"assistant","content":' || t || ',"tool_calls":[{"function":{"arguments":' || u || '}}]}'
+  WHEN f = 1 THEN '{"role":"tool","content":' || t || '}'
+  WHEN i % 3 = 0 THEN '{"role":"user","content":[{"type":"input_text","text":' || t || '}]}'
+  WHEN i % 3 = 1 THEN '{"role":"assistant","content":[{"type":"output_text","text":' || t || '}]},{"type":"function_call","arguments":' || u || '}'
+  ELSE '{"type":"function_call_output","output":' || t || '}' END, ',' ORDER BY i) AS msgs FROM x GROUP BY 1)"""
+
+
+@query(
+    "rewrite_requests",
+    "CNV-08 VLT-08 POL-02",
+    f"""{_LIVE}, {_RENDERED}, {_BODIES}
+    SELECT m.doc_id::VARCHAR AS request_id, refused, CASE WHEN NOT refused THEN md5('{{"model":"m' || (m.doc_id % 4) || CASE m.doc_id % 3
+      WHEN 0 THEN '","system":' || to_json(s.l)::VARCHAR || ',"messages":[' || msgs || ']}}'
+      WHEN 1 THEN '","messages":[{{"role":"system","content":' || to_json(s.l)::VARCHAR || '}},' || msgs || ']}}'
+      ELSE '","instructions":' || to_json(s.l)::VARCHAR || ',"input":[' || msgs || ']' || CASE WHEN m.doc_id % 2 = 0 THEN ',"prompt_cache_key":"k' || m.doc_id || '"}}' ELSE '}}' END END) END AS body
+    FROM m JOIN base ON base.doc_id = m.doc_id JOIN sys s ON s.doc_id = m.doc_id""",
+)
+def rewritten_requests(spark, sf):
+    rows = rewrite_exchanges(request_log(spark, sf), word_spans, policy(LIVE_POLICY))
+    return rows.select("request_id", "refused", F.md5("body").alias("body"))
+
+
+@query(
+    "rewrite_responses",
+    "CNV-08",
+    f"""{_LIVE}, y AS (SELECT base.doc_id, length(d.text)::VARCHAR AS n, (base.doc_id % 50)::VARCHAR AS m, to_json('ok ' || coalesce(fv.value, '[LA_WORD_1]') || ' [DE_WORD_1] [ZZ_9]')::VARCHAR AS t
+      FROM base JOIN documents d ON d.doc_id = base.doc_id LEFT JOIN fv ON fv.scope = base.doc_id AND fv.n = 1 WHERE NOT refused)
+    SELECT doc_id::VARCHAR AS request_id, md5(CASE doc_id % 3
+      WHEN 0 THEN '{{"content":[{{"type":"thinking","text":"no"}},{{"type":"text","text":' || t || '}}],"usage":{{"input_tokens":' || n || ',"output_tokens":' || m || '}}}}'
+      WHEN 1 THEN '{{"choices":[{{"message":{{"content":' || t || '}}}}],"usage":{{"prompt_tokens":' || n || ',"completion_tokens":' || m || '}}}}'
+      ELSE '{{"output":[{{"content":[{{"type":"output_text","text":' || t || '}}]}}],"usage":{{"input_tokens":' || n || ',"output_tokens":' || m || '}}}}' END) AS response FROM y""",
+)
+def rewritten_responses(spark, sf):
+    rows = rewrite_exchanges(request_log(spark, sf), word_spans, policy(LIVE_POLICY)).filter("not refused")
+    return rows.select("request_id", F.md5("response").alias("response"))
+
+
 # --- hook events ------------------------------------------------------------
 
 

@@ -11,12 +11,13 @@ from hushframe.functions.spans import choose_spans
 from hushframe.functions.text import is_blank, let, once
 from hushframe.operators.detectors import Detector
 from hushframe.operators.policy import blocked_counts, hook_verdict
-from hushframe.operators.row_vault import pseudonymize_row, pseudonymize_segments, value_map
+from hushframe.operators.row_vault import pseudonymize_row, pseudonymize_segments, restore_row, value_map
 from hushframe.plans.audit import Audit, current_exchange_pii
 from hushframe.plans.language import detect_language
 from hushframe.plans.store import record_id
 from hushframe.session import materialize
-from hushframe.sources.requests import hook_events, restore_texts, with_facts
+from hushframe.sources.bodies import request_places, respliced, response_places, with_tokens
+from hushframe.sources.requests import hook_events, parsed, restore_texts, with_facts
 
 SAVED = "array<struct<category:string,original:string,anonymized:string>>"
 
@@ -104,6 +105,33 @@ def judge_requests(
     )
 
 
+def rewrite_exchanges(requests: DataFrame, detect: Detector, action: Callable[[Column], Column]) -> DataFrame:
+    """request_id, refused, and the bodies as they travel: ``body`` with pseudonyms, ``response`` with the values put back.
+
+    Both are the original text but for the strings that change. A request with a blocked finding is refused and has
+    neither; a body that is no JSON object gives no row, a response that is none stays as it is. One projection, no shuffle.
+    """
+    df = with_tokens(parsed(requests), F.col("body"), "__tokens")
+    readable = F.schema_of_variant(F.try_parse_json(F.col("response"))).startswith("OBJECT")
+    df = with_tokens(df, F.when(readable, F.col("response")), "__reply")
+    wire = F.col("wire_format")
+    spans = lambda g: choose_spans(detect(g["text"]))
+    places = F.transform(request_places(wire, F.col("__tokens")), lambda g: F.struct(g["start"], g["end"], g["label"], g["kept"], g["text"], spans(g).alias("spans")))
+    df = df.withColumn("__places", once(places)).withColumn("__forward", once(pseudonymize_segments(F.col("__places"), action)))
+    every = F.flatten(F.transform("__places", lambda g: g["spans"]))
+    refused = F.size(blocked_counts(every, action)) > 0
+    back = let(
+        value_map(F.col("__forward.vault")),
+        lambda m: let(response_places(wire, F.col("__reply")), lambda ps: respliced(F.col("response"), ps, F.transform(ps, lambda p: restore_row(p["text"], m)))),
+    )
+    return df.select(
+        "request_id",
+        refused.alias("refused"),
+        F.when(~refused, respliced(F.col("body"), F.col("__places"), F.col("__forward.texts"))).alias("body"),
+        F.when(~refused, back).alias("response"),
+    )
+
+
 def with_language(records: DataFrame, profiles: DataFrame) -> DataFrame:
     """``records`` of ``judge_requests`` plus the language of their human texts, so that filters and facets find it."""
     records = materialize(records)
