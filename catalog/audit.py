@@ -120,7 +120,7 @@ def export_json_rows(spark, sf):
 )
 def evolve_old_tables(spark, sf):
     old = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("model"))
-    return st.evolve(old, st.INTERACTION).select("id", "kind", "conversation_id", "model")
+    return st.evolve(old, st.INTERACTION).select(F.col("id").cast("bigint").alias("id"), "kind", "conversation_id", "model")
 
 
 @query(

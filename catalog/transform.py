@@ -14,7 +14,7 @@ from hushframe.operators.detectors import explode_spans, with_spans
 from hushframe.operators.policy import action_of, apply_policy, block_tally, policy, resolve_actions, verdicts
 from hushframe.operators.redact import redact_frame, redact_json, redact_text, redactor
 from hushframe.operators.telemetry import scrub_payloads, telemetry_interactions
-from hushframe.operators.vault import build_vault, counts_map, export_vault, pseudonymize, restore, type_counts
+from hushframe.operators.vault import build_vault, counts_map, export_vault, extend_vault, pseudonymize, restore, type_counts
 from hushframe.session import materialize
 
 
@@ -381,6 +381,18 @@ def build_vault_corpus(spark, sf):
     return build_vault(spans, ["doc_id", "start"])
 
 
+@query("extend_vault", "VLT-01 VLT-03", f"SELECT scope, label, value, n, placeholder, uses FROM ({_SRC_VAULT})")
+def extended_vault(spark, sf):
+    """Three imports, one after the other, are one vault; the last two grow what is there."""
+    spans = materialize(explode_spans(_marked(spark, sf), keep=["doc_id", "source"]))
+    cut = spans.agg(F.max("doc_id").alias("last")).first().last or 0
+    parts = [spans.filter(F.col("doc_id") <= cut // 3), spans.filter((F.col("doc_id") > cut // 3) & (F.col("doc_id") <= cut // 2)), spans.filter(F.col("doc_id") > cut // 2)]
+    vault = build_vault(parts[0], ["doc_id", "start"], "source")
+    for part in parts[1:]:
+        vault = extend_vault(vault, part, ["doc_id", "start"], "source")
+    return vault
+
+
 _SRC_RENDERED = rendered_sql(
     pieces_sql("documents", "doc_id", "text", WORD),
     f"SELECT d.doc_id AS key, value, placeholder AS name FROM ({_SRC_VAULT}) v JOIN documents d ON d.source = v.scope",

@@ -7,7 +7,9 @@ column decides who shares a numbering: a document, a conversation, the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.spans import splice, value_of
@@ -22,24 +24,54 @@ def build_vault(spans: DataFrame, order: list[str], scope: str = "scope") -> Dat
     Spans shrink to distinct values first (combined map-side), then each
     (scope, label) is numbered by first position, whatever its size.
     """
+    numbered = number_rows(first_uses(spans, order, scope), ["scope", "label"], _places(order), "n")
+    # looked up several times in either direction
+    return materialize(_entries(numbered))
+
+
+def _places(order: list[str]) -> list[str]:
+    return [f"__o{i}" for i in range(len(order))]
+
+
+def first_uses(spans: DataFrame, order: list[str], scope: str) -> DataFrame:
+    """(scope, label, value, uses, first position): one row per distinct value."""
     firsts = spans.groupBy(F.col(scope).alias("scope"), "label", "value").agg(
         F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])).alias("first"),
         F.count(F.lit(1)).alias("uses"),
     )
-    flat = firsts.select(
-        "scope", "label", "value", "uses", *[F.col(f"first.o{i}").alias(f"__o{i}") for i in range(len(order))]
-    )
-    numbered = number_rows(flat, ["scope", "label"], [f"__o{i}" for i in range(len(order))], "n")
-    vault = numbered.select(
-        "scope",
-        "label",
-        "value",
-        "n",
-        F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("placeholder"),
-        "uses",
-    )
-    # looked up several times in either direction
-    return materialize(vault)
+    return firsts.select("scope", "label", "value", "uses", *[F.col(f"first.o{i}").alias(f"__o{i}") for i in range(len(order))])
+
+
+def _entries(numbered: DataFrame) -> DataFrame:
+    name = F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]"))
+    return numbered.select("scope", "label", "value", "n", name.alias("placeholder"), "uses")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def new_entries(vault: DataFrame, spans: DataFrame, order: list[str], scope: str = "scope") -> tuple[DataFrame, DataFrame]:
+    """What ``spans`` add to ``vault``: entries for values it lacks, and (scope, label, value, uses) of all their values.
+
+    New values are numbered on from the largest number of their (scope, label), in their own order; what the vault holds
+    is neither renumbered nor moved. A scope with a third of all values is spread as in ``build_vault``; where numbers go
+    on from meets it as any hot key does (``lookup``).
+    """
+    firsts = materialize(first_uses(spans, order, scope))
+    fresh = firsts.join(vault, _same(firsts, vault, ["scope", "label", "value"]), "left_anti")
+    numbered = number_rows(fresh, ["scope", "label"], _places(order), "__n")
+    largest = vault.groupBy("scope", "label").agg(F.max("n").alias("largest"), F.count(F.lit(1)).alias("uses"))
+    going_on = lookup(numbered, largest, ["scope", "label"], "largest").withColumn("n", F.col("__n") + F.coalesce("largest", F.lit(0)))
+    return materialize(_entries(going_on)), firsts.select("scope", "label", "value", "uses")
+
+
+def extend_vault(vault: DataFrame, spans: DataFrame, order: list[str], scope: str = "scope") -> DataFrame:
+    """``vault`` grown by ``spans`` that come after all it was built of: the same as one vault built of both."""
+    entries, uses = new_entries(vault, spans, order, scope)
+    every = entries.drop("uses").unionByName(vault.drop("uses"))
+    counted = vault.select("scope", "label", "value", "uses").unionByName(uses).groupBy("scope", "label", "value").agg(F.sum("uses").alias("uses"))
+    return materialize(every.join(counted, _same(every, counted, ["scope", "label", "value"])).select(every["*"], "uses"))
 
 
 def pseudonymize(

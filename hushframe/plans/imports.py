@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hushframe.functions.spans import choose_spans
 from hushframe.operators.detectors import Detector, explode_spans
 from hushframe.operators.ordered import number_rows
-from hushframe.operators.vault import build_vault, counts_map, pseudonymize, type_counts
+from hushframe.operators.vault import build_vault, counts_map, extend_vault, pseudonymize, type_counts
 from hushframe.plans.audit import Audit, page_size
 from hushframe.plans.store import record_id
 from hushframe.session import materialize
@@ -19,10 +19,11 @@ from hushframe.session import materialize
 
 @dataclass(frozen=True)
 class Imported:
-    """New audit rows (None for a dry run) and one row of counters."""
+    """New audit rows (None for a dry run), one row of counters, and the vault of the sessions (None for a dry run)."""
 
     audit: Audit | None
     counters: DataFrame
+    vault: DataFrame | None = None
 
 
 def drop_excluded(sessions: DataFrame, exclude: Sequence[str] | None) -> DataFrame:
@@ -56,10 +57,12 @@ def import_sessions(
     exclude: Sequence[str] | None = None,
     dry_run: bool = False,
     save: str = "anonymized",
+    vault: DataFrame | None = None,
 ) -> Imported:
     """Audit rows of all sessions that are new, one vault per session.
 
-    Segments stay rows throughout, so neither a session nor a turn has to fit in
+    With ``vault`` (of an earlier import, or kept by ``plans.vaults``) the numbering of a session goes on from it, and what
+    it holds keeps its placeholder. Segments stay rows throughout, so neither a session nor a turn has to fit in
     one task, and whole texts are read.
     """
     found = drop_excluded(sessions, exclude)
@@ -73,7 +76,8 @@ def import_sessions(
     segs = segment_rows.join(chosen.select("path"), "path", "left_semi")
     segs = materialize(segs.withColumn("spans", choose_spans(detect(F.col("text")))))
     spans = explode_spans(segs, keep=["session_id", "turn_no", "block", "line", "i"])
-    vault = build_vault(spans, ["turn_no", "block", "line", "i", "start"], scope="session_id")
+    order = ["turn_no", "block", "line", "i", "start"]
+    vault = build_vault(spans, order, "session_id") if vault is None else extend_vault(vault, spans, order, "session_id")
     rendered = pseudonymize(segs, vault, ["session_id", "turn_no", "block", "line", "i"], scope="session_id")
     counts = counts_map(type_counts(spans, ["session_id", "turn_no"]), ["session_id", "turn_no"])
 
@@ -110,7 +114,7 @@ def import_sessions(
         "original",
         "anonymized",
     )
-    return Imported(Audit(interaction, detection, text), counters(found, chosen, turns, failed, interaction))
+    return Imported(Audit(interaction, detection, text), counters(found, chosen, turns, failed, interaction), vault)
 
 
 def unreadable(found: DataFrame, turn_rows: DataFrame, known: DataFrame) -> DataFrame:

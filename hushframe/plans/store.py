@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.plans.audit import Audit, all_interactions, expose, filter_interactions, nested_detections
+from hushframe.plans.versions import Batches, Version, change, read_rows, read_version, write_rows
 from hushframe.session import materialize
 
+# An id is a number of up to 38 digits: two 63-bit hashes, or any smaller number a caller has.
+ID = "DECIMAL(38,0)"
 INTERACTION = (
-    "id BIGINT, created_at TIMESTAMP, source STRING, wire_format STRING, kind STRING, model STRING, policy STRING, "
+    f"id {ID}, created_at TIMESTAMP, source STRING, wire_format STRING, kind STRING, model STRING, policy STRING, "
     "language STRING, input_tokens BIGINT, output_tokens BIGINT, entity_total BIGINT, "
     "entity_counts MAP<STRING,BIGINT>, conversation_id STRING"
 )
-DETECTION = "id BIGINT, interaction_id BIGINT, entity_type STRING, count BIGINT"
-TEXT = "id BIGINT, interaction_id BIGINT, seq INT, category STRING, original STRING, anonymized STRING"
+DETECTION = f"id {ID}, interaction_id {ID}, entity_type STRING, count BIGINT"
+TEXT = f"id {ID}, interaction_id {ID}, seq INT, category STRING, original STRING, anonymized STRING"
 TABLES = {"interaction": INTERACTION, "detection": DETECTION, "interaction_text": TEXT}
 
 # Defaults of columns that older tables lack, and of columns a record may leave out.
@@ -24,8 +27,9 @@ DEFAULTS = {"kind": "main", "policy": "pseudonymize", "category": "user"}
 
 
 def record_id(*parts: Column) -> Column:
-    """A stable positive id from the event's own key, so that a replay gives the same rows."""
-    return F.xxhash64(*parts).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    """A stable positive id of 126 bits from the event's own key, so that a replay gives the same rows."""
+    high, low = (F.xxhash64(F.lit(salt), *parts).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("decimal(19,0)") for salt in (1, 2))
+    return (high * F.lit(str(1 << 63)).cast("decimal(19,0)") + low).cast("decimal(38,0)")
 
 
 def to_audit(records: DataFrame) -> Audit:
@@ -44,6 +48,7 @@ def to_audit(records: DataFrame) -> Audit:
         return F.col(name).cast(kind) if name in have else F.lit(DEFAULTS.get(name)).cast(kind)
 
     counts = F.map_filter(F.col("entity_counts").cast("map<string,bigint>"), lambda k, v: v != 0)
+    records = records.withColumn("id", F.col("id").cast(ID))
     base = records.withColumn("__counts", F.coalesce(counts, F.create_map().cast("map<string,bigint>")))
     created = F.coalesce(F.col("created_at"), F.current_timestamp()) if "created_at" in have else F.current_timestamp()
     total = F.aggregate(F.map_values("__counts"), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
@@ -80,40 +85,27 @@ def to_audit(records: DataFrame) -> Audit:
     return Audit(interaction, detection, text)
 
 
-def append_audit(a: Audit, path: str, batch: str | None = None) -> None:
-    """Append three tables under ``path``, each in folders ``batch=…``.
+LAYOUT = {"interaction": ["created_at", "id"], "detection": ["interaction_id", "id"], "interaction_text": ["interaction_id", "seq"]}
 
-    A batch that is written again replaces its own folder and no others, so a
-    retried micro-batch leaves one copy. Rows are laid out by time (children by
-    their interaction), so that file and row-group statistics prune date filters
-    and look-ups without one small file per day.
+
+def append_audit(a: Audit, path: str, batch: str | None = None) -> Version:
+    """Append three tables under ``path`` by one commit.
+
+    All rows are written to new folders before one version names them, so a crash between the tables leaves none of the
+    batch. A batch that is written again takes the place of its first writing and no other's, so a retried micro-batch
+    leaves one copy. Rows are laid out by time (children by their interaction), so that file and row-group statistics
+    prune date filters and look-ups without one small file per day.
     """
     batch = batch or uuid.uuid4().hex
-    frames = {
-        "interaction": (a.interaction, ["created_at", "id"]),
-        "detection": (a.detection, ["interaction_id", "id"]),
-        "interaction_text": (a.text, ["interaction_id", "seq"]),
-    }
-    for name, (df, order) in frames.items():
-        (
-            df.repartitionByRange(*order)
-            .sortWithinPartitions(*order)
-            .withColumn("batch", F.lit(batch))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(f"{path}/{name}")
-        )
+    frames = {"interaction": a.interaction, "detection": a.detection, "interaction_text": a.text}
+    folders = {name: write_rows(df, path, name, batch, LAYOUT[name]) for name, df in frames.items()}
+    return change(a.interaction.sparkSession, path, lambda now: {**now.batches, batch: folders})
 
 
-def read_audit(spark: SparkSession, path: str) -> Audit:
-    """The tables as they are, with columns that older files lack filled by their default."""
-    frames = []
-    for name, ddl in TABLES.items():
-        # the full schema is given: files that lack a column read as null, and a
-        # table without rows needs no file to infer from
-        frames.append(evolve(spark.read.schema(ddl).parquet(f"{path}/{name}"), ddl))
-    return Audit(*frames)
+def read_audit(spark: SparkSession, path: str, version: int | None = None) -> Audit:
+    """The tables as the newest (or a given) version has them, with columns that older files lack filled by their default."""
+    now = read_version(spark, path, version)
+    return Audit(*[evolve(read_rows(spark, path, name, ddl, now.folders(name)), ddl) for name, ddl in TABLES.items()])
 
 
 def evolve(df: DataFrame, ddl: str) -> DataFrame:
@@ -140,17 +132,28 @@ def without(a: Audit, interaction_id: int) -> tuple[Audit, DataFrame]:
 def delete_interaction(spark: SparkSession, path: str, interaction_id: int) -> bool:
     """Delete one interaction and its children from the tables under ``path``; says if it was there.
 
-    Only the ``batch`` folders that hold it are written again.
+    Folders that hold it are written again as new ones, and one version puts them in the old ones' place in all tables.
     """
     existed = False
-    for name, ddl in TABLES.items():
-        own = F.col("id" if name == "interaction" else "interaction_id") == interaction_id
-        table = spark.read.schema(f"{ddl}, batch STRING").parquet(f"{path}/{name}")
-        folders = [r.batch for r in table.filter(own).select("batch").distinct().collect()]  # those that hold one interaction
-        existed |= bool(folders) and name == "interaction"
-        for batch in folders:
-            left = materialize(table.filter((F.col("batch") == batch) & ~own).drop("batch"))
-            left.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+
+    def step(now: Version) -> Batches | None:
+        nonlocal existed
+        existed, instead = False, {}
+        for name, ddl in TABLES.items():
+            own = F.col("id" if name == "interaction" else "interaction_id") == interaction_id
+            known = now.folders(name)
+            rows = read_rows(spark, path, name, ddl, known).filter(own) if known else None
+            files = [r[0] for r in rows.select("_metadata.file_path").distinct().collect()] if known else []  # those that hold one interaction
+            held = sorted({f.split("/")[-2] for f in files})
+            existed |= bool(held) and name == "interaction"
+            for folder in held:
+                left = read_rows(spark, path, name, ddl, [folder]).filter(~F.coalesce(own, F.lit(False)))
+                instead[name, folder] = write_rows(left, path, name, "kept", LAYOUT[name])
+        if not instead:
+            return None
+        return {b: {t: [x for f in folders for x in instead.get((t, f), [f])] for t, folders in tables.items()} for b, tables in now.batches.items()}
+
+    change(spark, path, step)
     return existed
 
 
@@ -163,9 +166,14 @@ def clear_all(spark: SparkSession, path: str, confirm: bool = False) -> int:
     """Empty all tables; gives the number of interactions removed. Needs ``confirm=True``."""
     if confirm is not True:
         raise ValueError("pass confirm=True to clear the whole audit log")
-    removed = read_audit(spark, path).interaction.count()
-    for name, ddl in TABLES.items():
-        spark.createDataFrame([], ddl).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{name}")
+    removed = 0
+
+    def step(now: Version) -> Batches:
+        nonlocal removed
+        removed = read_audit(spark, path, now.number if now.number >= 0 else None).interaction.count()
+        return {}
+
+    change(spark, path, step)
     return removed
 
 
