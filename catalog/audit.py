@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from hushframe.plans import exchanges as x
 from hushframe.plans import store as st
 from hushframe.plans.audit import Audit
 from hushframe.plans.live import keep_texts
+from hushframe.plans.search import search_audit
 from hushframe.session import checkpoint_dir
 from hushframe.sources.requests import source_of
 
@@ -200,6 +202,49 @@ def search_texts(spark, sf):
     return flat(q.filter_interactions(audit(spark, sf), q="[word_1] _n"))
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '{}'"
+_SOUGHT = ("%[word_1] _n%", "%ther%tion%", "%zq%", "%no such text at all%", "%th_re%")
+
+
+def _sought_sql(pattern: str) -> str:
+    hit = " OR ".join(_LOWER.format(c, pattern) for c in ("original", "anonymized"))
+    return f"SELECT '{pattern.strip('%')}' AS q, id FROM inter WHERE EXISTS (SELECT 1 FROM txt WHERE interaction_id = inter.id AND ({hit}))"
+
+
+@query("search_kept_texts", "AUD-06 SNK-01", sql(" UNION ALL ".join(_sought_sql(p) for p in _SOUGHT)))
+def search_kept_texts(spark, sf):
+    """Several searches over written tables, one interaction deleted and written again between; files are left out by signatures."""
+    path = _scratch(spark, "search")
+    whole = audit(spark, sf)
+    low, child = F.col("id") < 100, F.col("interaction_id") < 100
+    st.append_audit(Audit(whole.interaction.filter(low), whole.detection.filter(child), whole.text.filter(child)), path, "low", searchable=True)
+    st.append_audit(Audit(whole.interaction.filter(~low), whole.detection.filter(~child), whole.text.filter(~child)), path, "high", searchable=True)
+    st.delete_interaction(spark, path, 1)
+    one, own = F.col("id") == 1, F.col("interaction_id") == 1
+    st.append_audit(Audit(whole.interaction.filter(one), whole.detection.filter(own), whole.text.filter(own)), path, "again")
+    rows = [search_audit(spark, path, p.strip("%")).select(F.lit(p.strip("%")).alias("q"), F.col("id").cast("bigint").alias("id")) for p in _SOUGHT]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query("list_page_after", "AUD-07", sql(f"SELECT {FLAT_SQL} FROM inter ORDER BY language DESC NULLS LAST, id LIMIT 900"))
+def list_page_after(spark, sf):
+    """Three pages of 300, each going on from the last row of the one before."""
+    rows, after, pages = audit(spark, sf).interaction, None, []
+    for _ in range(3):
+        page = q.page_after(rows, after, "language", "desc", 300)
+        pages.append(page)
+        last = page.orderBy(F.col("language").desc(), "id").select("language", "id").tail(1)  # the row a reader has in hand
+        after = tuple(last[0]) if last else after
+    return flat(reduce(lambda a, b: a.unionByName(b), pages))
+
+
+@query("list_page_deep", "AUD-07", sql(f"SELECT {FLAT_SQL} FROM inter ORDER BY entity_total DESC NULLS LAST, id LIMIT 7 OFFSET (SELECT greatest(0, (count(*) // 7 - 2)) * 7 FROM inter)"))
+def list_page_deep(spark, sf):
+    """A page near the end, found by counts."""
+    rows = audit(spark, sf).interaction
+    return flat(q.page_at(rows, "entity_total", "desc", max(1, rows.count() // 7 - 1), 7))
+
+
 @query(
     "list_page",
     "AUD-07",
@@ -287,6 +332,28 @@ def list_conversations(spark, sf):
     return _conv(q.list_conversations(audit(spark, sf), 2, 50, "entity_total", "desc", kinds=["main"], policies=["monitor"]))
 
 
+@query(
+    "list_conversations_total",
+    "AUD-11",
+    sql("SELECT count(DISTINCT conversation_id) AS total, 50::BIGINT AS page_size, ceil(count(DISTINCT conversation_id) / 50.0)::BIGINT AS total_pages FROM inter WHERE conversation_id IS NOT NULL AND kind = 'main' AND policy = 'monitor'"),
+)
+def list_conversations_total(spark, sf):
+    return q.conversation_totals(audit(spark, sf), 50, kinds=["main"], policies=["monitor"])
+
+
+@query(
+    "list_conversations_after",
+    "AUD-11",
+    f"""WITH {AUDIT_SQL}, k AS (SELECT conversation_id, sum(entity_total) AS r FROM inter WHERE conversation_id IS NOT NULL AND kind = 'main' AND policy = 'monitor'
+    GROUP BY 1 ORDER BY r DESC, conversation_id LIMIT 60 OFFSET 60) {CONV_SQL.format(where="conversation_id IN (SELECT conversation_id FROM k)")}""",
+)
+def list_conversations_after(spark, sf):
+    """The second page of 60, from the last conversation of the first one on."""
+    a, wanted = audit(spark, sf), {"kinds": ["main"], "policies": ["monitor"]}
+    last = q.conversations_after(a, None, 60, "entity_total", **wanted).select("sort_key", "conversation_id").tail(1)
+    return _conv(q.conversations_after(a, tuple(last[0]) if last else None, 60, "entity_total", **wanted))
+
+
 @query("summarize_conversations", "AUD-12", sql(CONV_SQL.format(where="conversation_id IS NOT NULL")))
 def summarize_conversations(spark, sf):
     return _conv(q.list_conversations(audit(spark, sf), page=None))

@@ -88,18 +88,33 @@ def to_audit(records: DataFrame) -> Audit:
 LAYOUT = {"interaction": ["created_at", "id"], "detection": ["interaction_id", "id"], "interaction_text": ["interaction_id", "seq"]}
 
 
-def append_audit(a: Audit, path: str, batch: str | None = None) -> Version:
+def append_audit(a: Audit, path: str, batch: str | None = None, searchable: bool = False) -> Version:
     """Append three tables under ``path`` by one commit.
 
     All rows are written to new folders before one version names them, so a crash between the tables leaves none of the
     batch. A batch that is written again takes the place of its first writing and no other's, so a retried micro-batch
     leaves one copy. Rows are laid out by time (children by their interaction), so that file and row-group statistics
-    prune date filters and look-ups without one small file per day.
+    prune date filters and look-ups without one small file per day. With ``searchable`` each file of texts gets a
+    signature, so that ``plans.search`` opens only the files that can hold a match.
     """
     batch = batch or uuid.uuid4().hex
     frames = {"interaction": a.interaction, "detection": a.detection, "interaction_text": a.text}
     folders = {name: write_rows(df, path, name, batch, LAYOUT[name]) for name, df in frames.items()}
-    return change(a.interaction.sparkSession, path, lambda now: {**now.batches, batch: folders})
+    spark = a.interaction.sparkSession
+    if searchable:
+        folders[SIGNATURES] = _signed(spark, path, folders["interaction_text"])
+    return change(spark, path, lambda now: {**now.batches, batch: folders})
+
+
+SIGNATURES = "text_signature"
+
+
+def _signed(spark: SparkSession, path: str, folders: list[str]) -> list[str]:
+    from hushframe.plans.search import sign_texts
+
+    for folder in folders:
+        sign_texts(spark, path, folder)
+    return folders
 
 
 def read_audit(spark: SparkSession, path: str, version: int | None = None) -> Audit:
@@ -151,6 +166,9 @@ def delete_interaction(spark: SparkSession, path: str, interaction_id: int) -> b
                 instead[name, folder] = write_rows(left, path, name, "kept", LAYOUT[name])
         if not instead:
             return None
+        # rewritten texts are signed if they were; a signature has its folder's name
+        for folder in set(now.folders(SIGNATURES)) & {f for t, f in instead if t == "interaction_text"}:
+            instead[SIGNATURES, folder] = _signed(spark, path, instead["interaction_text", folder])
         return {b: {t: [x for f in folders for x in instead.get((t, f), [f])] for t, folders in tables.items()} for b, tables in now.batches.items()}
 
     change(spark, path, step)
