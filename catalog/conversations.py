@@ -14,6 +14,7 @@ from hushframe.operators.policy import policy
 from hushframe.operators.redact import json_escape
 from hushframe.plans import imports as im
 from hushframe.plans.language import detect_language, fit_profiles
+from hushframe.plans.audit import Audit
 from hushframe.plans.live import judge_hooks, judge_requests, rewrite_exchanges
 from hushframe.session import materialize
 from hushframe.sources import requests as rq
@@ -294,6 +295,43 @@ def judged_hooks(spark, sf):
     )
 
 
+# Turns 0 and 1 are history; so is a row with findings between turns 4 and 5 of some conversations, and one after all turns.
+_HOOK_ROWS = f"""found AS (SELECT key, count(*) AS n FROM ({_CW}) GROUP BY 1),
+ev AS (SELECT conv_id, turn, turn * 10 AS tm, coalesce(n, 0) > 0 AS hit, turn % 3 AS k FROM conversations LEFT JOIN found ON key = conv_id * 1000 + turn WHERE length(text) > 0),
+hist AS (SELECT conv_id, tm, CASE WHEN k = 1 AND conv_id % 3 = 0 THEN 'clear' WHEN hit THEN 'set' END AS step FROM ev WHERE turn < 2
+  UNION ALL SELECT DISTINCT conv_id, 45, 'set' FROM ev WHERE conv_id % 4 = 0 UNION ALL SELECT DISTINCT conv_id, 1000, 'set' FROM ev),
+steps AS (SELECT conv_id, tm, step, NULL::BIGINT AS turn FROM hist
+  UNION ALL SELECT conv_id, tm, CASE WHEN k = 1 THEN CASE WHEN hit THEN 'flip' ELSE 'clear' END WHEN hit THEN 'set' END, turn FROM ev WHERE turn >= 2 AND k < 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY tm) AS r FROM steps),
+walk AS (SELECT conv_id, 0::BIGINT AS r, NULL::BIGINT AS turn, false AS before, false AS after FROM (SELECT DISTINCT conv_id FROM steps)
+  UNION ALL SELECT s.conv_id, s.r, s.turn, w.after, CASE s.step WHEN 'set' THEN true WHEN 'clear' THEN false WHEN 'flip' THEN NOT w.after ELSE w.after END
+  FROM walk w JOIN ranked s ON s.conv_id = w.conv_id AND s.r = w.r + 1)"""
+
+
+@query(
+    "judge_hooks_with_history",
+    "CNV-23 AUD-14",
+    f"""WITH RECURSIVE {_HOOK_ROWS} SELECT e.conv_id || '-' || e.turn AS event_id, CASE WHEN k = 1 THEN w.before ELSE hit END::BIGINT AS n_texts
+    FROM ev e LEFT JOIN walk w ON w.conv_id = e.conv_id AND w.turn = e.turn WHERE e.turn >= 2""",
+)
+def judged_hooks_with_history(spark, sf):
+    """A reply is kept by what its conversation had up to it: stored rows before it and between, events of the same batch, none of later."""
+    c = table(spark, sf, "conversations")
+    at = lambda t: F.timestamp_seconds(F.lit(1_700_000_000) + t)
+    events = hook_log(spark, sf).join(c.select(F.concat_ws("-", "conv_id", "turn").alias("event_id"), "turn"), "event_id")
+    old = c.filter("turn < 2 AND length(text) > 0")
+    n = F.size(word_spans(F.col("text"))).cast("bigint")
+    cid = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    rows = old.select((F.col("conv_id") * 10 + F.col("turn")).alias("id"), cid.alias("conversation_id"), at(F.col("turn") * 10).alias("created_at"), n.alias("entity_total"))
+    ids = c.filter("length(text) > 0").select("conv_id").distinct()
+    late = lambda df, k, t: df.select((F.col("conv_id") * 10 + k).alias("id"), cid.alias("conversation_id"), at(F.lit(t)).alias("created_at"), F.lit(1).cast("bigint").alias("entity_total"))
+    rows = rows.unionByName(late(ids.filter("conv_id % 4 = 0"), 8, 45)).unionByName(late(ids, 9, 1000)).withColumn("source", F.lit("cursor"))
+    said = old.filter("turn = 1 AND conv_id % 3 = 0").select((F.col("conv_id") * 10 + 1).alias("interaction_id"), F.lit("assistant").alias("category"))
+    events = events.filter("turn >= 2").withColumn("ts", at(F.col("turn") * 10)).drop("turn")
+    judged = judge_hooks(events, word_spans, policy(LIVE_POLICY), history=Audit(rows, rows.limit(0), said))
+    return judged.select("event_id", F.size("texts").alias("n_texts"))
+
+
 # --- language ---------------------------------------------------------------
 
 _SAMPLE = "CASE WHEN length(trim(text, chr(10) || chr(9) || ' ')) >= 10 THEN lower(trim(text, chr(10) || chr(9) || ' ')) END"

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from hushframe.functions.spans import choose_spans
 from hushframe.functions.text import is_blank, let, once
 from hushframe.operators.detectors import Detector
+from hushframe.operators.ordered import lookup, running_sum
 from hushframe.operators.policy import blocked_counts, hook_verdict
 from hushframe.operators.row_vault import pseudonymize_row, pseudonymize_segments, restore_row, value_map
-from hushframe.plans.audit import Audit, current_exchange_pii
+from hushframe.plans.audit import Audit
 from hushframe.plans.language import detect_language
-from hushframe.plans.store import record_id
+from hushframe.plans.store import ID, record_id
 from hushframe.session import materialize
 from hushframe.sources.bodies import request_places, respliced, response_places, with_tokens
 from hushframe.sources.requests import hook_events, parsed, restore_texts, with_facts
@@ -138,6 +139,43 @@ def with_language(records: DataFrame, profiles: DataFrame) -> DataFrame:
     return records.join(detect_language(records.select("id", "human_text"), profiles, ["id"], "human_text"), "id", "left")
 
 
+def exchange_states(rows: DataFrame) -> DataFrame:
+    """(id, open): had the current exchange of the row's conversation findings just before the row?
+
+    ``rows``: id, conversation_id, at, step. Rows are taken by (at, id), and ``step`` says what each does to the state:
+    ``set``, ``clear``, ``flip``, or null for nothing; it starts as not open. The state before a row is what the last
+    ``set`` or ``clear`` left, turned once for each ``flip`` since, so two running sums give it for conversations of any length.
+    """
+    fixed, flips = F.col("step").isin("set", "clear"), F.col("step") == "flip"
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    known = running_sum(rows.withColumn("__fixed", one(fixed)).withColumn("__flip", one(flips)), ["conversation_id"], ["at", "id"], F.col("__fixed"), "__n")
+    known = materialize(running_sum(known, ["conversation_id"], ["at", "id"], F.col("__flip"), "__f"))
+    before = known.select("*", (F.col("__n") - F.col("__fixed")).alias("__after"), (F.col("__f") - F.col("__flip")).alias("__flips"))
+    uses = before.groupBy("conversation_id", "__after").agg(F.count(F.lit(1)).alias("uses"))
+    marks = known.filter("__fixed = 1").select("conversation_id", F.col("__n").alias("__after"), F.struct((F.col("step") == "set").cast("int").alias("open"), F.col("__f").alias("flips")).alias("mark"))
+    met = lookup(before, marks.join(uses, ["conversation_id", "__after"]), ["conversation_id", "__after"], "mark")
+    turned = F.coalesce(F.col("mark.open"), F.lit(0)) + F.col("__flips") - F.coalesce(F.col("mark.flips"), F.lit(0))
+    return met.select("id", (turned % 2 == 1).alias("open"))
+
+
+def _open_exchanges(df: DataFrame, history: Audit, save: str) -> DataFrame:
+    """(id, open) for the events of ``df``, by what its conversations had up to each event, in ``history`` and in ``df``."""
+    # only the conversations at hand are looked up
+    asked = df.select("conversation_id").distinct()
+    part = history.interaction.filter(F.col("source") == "cursor").join(asked, "conversation_id", "left_semi")
+    answered = history.text.filter(F.col("category") == "assistant").select(F.col("interaction_id").alias("id")).distinct()
+    past = part.join(answered.withColumn("answered", F.lit(True)), "id", "left")
+    step = F.when(F.col("answered"), "clear").when(F.col("entity_total") > 0, "set")
+    past = past.select(F.col("id").cast(ID).alias("id"), "conversation_id", F.col("created_at").alias("at"), step.alias("step"), F.lit(False).alias("own"))
+    found = F.size("done.counts") > 0
+    # a reply is kept if the exchange had findings, and then ends it; one that is not kept counts by its own findings
+    reply = F.when(is_blank(F.col("text")), None).when(F.lit(save == "all") | ~found, "clear").otherwise("flip")
+    step = F.when(F.col("event") == "afterAgentResponse", reply).when(found, "set")
+    now = df.filter(F.col("conversation_id").isNotNull()).select(F.col("id").cast(ID).alias("id"), "conversation_id", F.col("at"), step.alias("step"), F.lit(True).alias("own"))
+    every = materialize(past.unionByName(now))
+    return exchange_states(every.drop("own")).join(every.filter("own").select("id"), "id", "left_semi")
+
+
 def judge_hooks(
     events: DataFrame,
     detect: Detector,
@@ -150,18 +188,18 @@ def judge_hooks(
     """Records of editor hook events, each with its allow/deny verdict.
 
     A reply is saved when everything is, or when the current exchange of its
-    conversation had findings (looked up in ``history``).
+    conversation had findings: in ``history`` and in the events themselves, up to
+    the reply. Events have their time in ``ts``; without it all are of now. An
+    event that ``history`` holds already must not be given again.
     """
     df = hook_events(events)
     df = df.withColumn("spans", once(choose_spans(detect(F.col("text"))))).withColumn(
         "done", once(pseudonymize_row(F.col("text"), F.col("spans")))
     )
     if history is not None:
-        # only the conversations at hand are looked up
-        asked = df.select("conversation_id").distinct()
-        part = history.interaction.join(asked, "conversation_id", "left_semi")
-        texts = history.text.join(part.select(F.col("id").alias("interaction_id")), "interaction_id", "left_semi")
-        df = df.join(current_exchange_pii(Audit(part, history.detection, texts)), "conversation_id", "left")
+        at = F.col("ts") if "ts" in events.columns else F.current_timestamp()
+        df = materialize(df.withColumn("id", record_id(F.col("event_id"))).withColumn("at", at))
+        df = df.join(_open_exchanges(df, history, save).withColumnRenamed("open", "had_pii"), "id", "left")
     else:
         df = df.withColumn("had_pii", F.lit(False))
     reply = F.col("event") == "afterAgentResponse"

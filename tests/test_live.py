@@ -1,5 +1,7 @@
 """Live audit, null keys and ends of streams on small frames."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from catalog.conversations import LIVE_POLICY, request_log
@@ -7,6 +9,7 @@ from catalog.inputs import word_spans
 from hushframe.functions.spans import find_spans, span, splice
 from hushframe.operators.ordered import lookup
 from hushframe.operators.policy import policy
+from hushframe.plans.live import exchange_states
 from hushframe.plans.language import detect_language, fit_profiles
 from hushframe.plans.store import read_audit
 from hushframe.streaming import audit as sa
@@ -48,3 +51,14 @@ def test_long_text_with_many_matches(spark):
     row = spark.range(1).select(F.repeat(F.lit("The "), 20000).alias("text"))
     found = row.select(find_spans(F.col("text"), "The", "X").alias("s")).first().s
     assert len(found) == 20000 and (found[-1].start, found[-1].end) == (79996, 79999)
+
+
+def test_exchange_states_equal_a_walk(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", "c"]) if i % 3 else "hot", rng.randint(0, 40), rng.choice(["set", "clear", "flip", None, None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, conversation_id string, at int, step string").repartition(5)
+    state, want = {}, {}
+    for i, c, _, step in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = now = state.get(c, False)
+        state[c] = {"set": True, "clear": False, "flip": not now, None: now}[step]
+    assert {r.id: r.open for r in exchange_states(df).collect()} == want
