@@ -9,8 +9,10 @@
    filter on one split, then the whole intersection.
 4. A posting list is not turned into all its pairs. While lists are costly, rounds of stars (each node against the least
    node of most of its lists) are verified and joined into components; then only pairs between a list's largest component
-   and the rest are left, which the last round verifies in full. Pairs inside a component are linked already, so no class is
-   lost.
+   and the rest are left. Pairs inside a component are linked already, so no class is lost.
+5. The last round compares those pairs inside the join by bitmaps before any row comes out: a shingle flips one of
+   ``64 * WORDS_OF_BITS`` bits, so the bits in which two nodes differ are at most the shingles in which they differ. It is a
+   suffix filter over many splits at once, and exact: pairs that it ends cannot link.
 
 Defined results: null, empty and wordless texts have ``n_shingles`` 0 and are their own component; fewer than five words
 are one shingle; equal ids and repeated rows are rows of their own and meet like any others; a component's name is its
@@ -38,6 +40,8 @@ LEAST = 75
 FEW = 4
 MAX_STARS = 2
 PIVOTS = 2
+#: Length of a node's bitmap in 64-bit words; it must be a power of two.
+WORDS_OF_BITS = 16
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +85,34 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(work, "node bigint, n bigint, h bigint, pos bigint, lead boolean")
 
 
+def bitmap(keys: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of the 48-bit ``keys`` falls on it."""
+    size = 64 * WORDS_OF_BITS
+    odd = np.bincount((keys.astype(np.uint64) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _bitmaps(nodes: DataFrame) -> DataFrame:
+    """node, shared (its number of shared shingles), b0.. (its bitmap)."""
+    bits = [f"b{i}" for i in range(WORDS_OF_BITS)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [unpack(x) for x in batch.column(1).to_pylist()]
+            maps = np.array([bitmap(x) for x in lists], np.int64).reshape(len(lists), WORDS_OF_BITS)
+            sizes = pa.array([len(x) for x in lists], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *(pa.array(np.ascontiguousarray(c)) for c in maps.T)], ["node", "shared", *bits])
+
+    return nodes.select("node", "keys").mapInArrow(work, "node bigint, shared bigint, " + ", ".join(f"{b} bigint" for b in bits))
+
+
+def _alike(x: str, y: str) -> F.Column:
+    """Bitmap filter: twice the intersection is at most both shared sizes less the bits that differ."""
+    differ = sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(1, WORDS_OF_BITS)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+    most = F.col(f"{x}.shared") + F.col(f"{y}.shared") - differ
+    return (100 + LEAST) * most >= 2 * LEAST * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
@@ -168,9 +200,9 @@ def similar(sets: DataFrame) -> DataFrame:
         comp = _joined(comp, found)
     mine = post.join(comp, "node")
     left, _, _ = _open_lists(mine)
-    rest = mine.join(left.select("h", "main"), "h")
+    rest = mine.join(left.select("h", "main"), "h").join(_bitmaps(nodes), "node")
     few = rest.where("comp <> main").alias("x")
-    pairs = few.join(rest.alias("y"), F.col("x.h") == F.col("y.h")).where(F.col("x.comp") != F.col("y.comp")).where(_pair("x", "y") & _positional("x", "y"))
+    pairs = few.join(rest.alias("y"), F.col("x.h") == F.col("y.h")).where(F.col("x.comp") != F.col("y.comp")).where(_pair("x", "y") & _positional("x", "y") & _alike("x", "y"))
     pairs = _distinct_pairs(pairs, "x", "y")
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
