@@ -4,12 +4,16 @@ The vocabulary file gives pieces and scores; the ids of a text are those of the
 scores. A character that is no piece costs less than any piece and is written as its bytes. (The given file was made for
 merging; its scores rank the merges, so the best-scoring segmentation is a valid encoding but not always the merged one.)
 
-Most texts are segmented at once: no piece crosses the start of a word, so a text's best segmentation is that of its units,
-and a worker remembers units. A text of more than ``CHUNK`` characters is cut into chunks anywhere, also inside words. Of a
+Most texts are segmented at once: no piece crosses the start of a word, so a text's best segmentation is that of its units.
+The new units of a slice of text are segmented together, position by position, and a worker remembers short units up to a
+number of bytes. A text of more than ``CHUNK`` characters is cut into chunks anywhere, also inside words. Of a
 path through the text only its last node at or before a boundary matters, one of as many states as the longest piece has
 characters. Each chunk yields the matrix of best scores from every entering to every leaving state; matrices combine
-associatively by max-plus products, which gives each boundary its state; each chunk is then backtraced on its own between
-its two states. Chunks, matrices and backtraces are rows and tasks of their own.
+associatively by max-plus products, which gives each boundary the best score of each state. From these a chunk tells, for
+each state it may be left in, the state in which the one path that ties allow enters it; looked up from the end, these tables
+give each boundary its state, and each chunk is backtraced on its own between its two states. Chunks, matrices, tables and
+backtraces are rows and tasks of their own. The ids are those of one pass whatever the chunks, as long as scores are whole
+numbers (sums of others may round differently).
 
 Defined results: null and empty texts have no pieces and decode to an empty text; ties go to the longer last piece; null
 ids and repeated rows are rows of their own; U+2581 in a text reads as a space, so such texts do not decode to themselves;
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +38,17 @@ from llm.arrays import pieces
 
 VOCABULARY = "piece_bpe_32k.model"
 CHUNK = 1 << 16
-REMEMBERED = 400_000
+#: Units of at most so many characters are segmented together and remembered, up to about so many bytes a worker.
+SHORT = 24
+REMEMBERED_BYTES = 48 << 20
+BLOCK = 8192
+#: A row of ids is decoded so many at a time; rows are dealt on after as many.
+IDS = 1 << 18
 SPACE = "▁"
 #: A unit begins at a space after something else, and around line feeds, which no piece holds.
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _NONE = float("-inf")
+_BASE, _LEAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 
 
 class Pieces:
@@ -55,7 +66,27 @@ class Pieces:
         self.unknown_id = model.unk_id()
         self.longest = max(len(t) for t in self.score)
         self.unknown = min(self.score.values()) - 10.0
-        self.known: dict[str, tuple[array, float]] = {}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+        self._index()
+
+    def _index(self) -> None:
+        """Pieces by length: ascending hashes, ids and scores; and which leading bits any of the hashes has."""
+        self.characters = {t for t in self.score if len(t) == 1}
+        self.by_length = []
+        self.leads = np.zeros(1 << 20, bool)
+        for k in range(1, self.longest + 1):
+            texts = [t for t in self.score if len(t) == k]
+            codes = _codes("".join(texts)).reshape(len(texts), k)
+            h = np.zeros(len(texts), np.uint64)
+            for column in codes.T:
+                h = h * _BASE + column
+            order = np.argsort(h)
+            h = h[order]
+            if (h[1:] == h[:-1]).any():
+                raise ValueError("two pieces of one hash")
+            self.leads[h >> _LEAD] = True
+            self.by_length.append((h, codes[order], np.array([self.id[texts[i]] for i in order], np.uint32), np.array([self.score[texts[i]] for i in order])))
 
     def ids_of(self, piece: str) -> list[int]:
         if piece in self.id:
@@ -95,57 +126,141 @@ class Pieces:
             out.extend(self.ids_of(step))
         return out
 
-    def unit(self, text: str) -> tuple[array, float]:
-        found = self.known.get(text)
-        if found is None:
-            best, back = self.forward(text)
-            found = (self.path(text, back, len(text)), best[-1])
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known[text] = found
-        return found
+    def together(self, units: list[str]) -> None:
+        """Remembers the ids of units, each of 1 to ``SHORT`` characters that are all pieces, by one recurrence over positions."""
+        units = sorted(units, key=len, reverse=True)
+        codes = _codes("".join(units))
+        size = np.array([len(u) for u in units])
+        start = np.cumsum(size) - size
+        end = np.repeat(start + size, size)
+        live = np.arange(len(codes))  # where a substring of k characters begins
+        h = np.zeros(len(codes), np.uint64)
+        depth = min(self.longest, int(size[0]))
+        score, piece = np.full((depth, len(codes)), _NONE), np.zeros((depth, len(codes)), np.uint32)
+        for k, (hashes, texts, ids, values) in enumerate(self.by_length[:depth], 1):
+            fits = live + k <= end[live]
+            live, h = live[fits], h[fits] * _BASE
+            h += codes[live + (k - 1)]
+            maybe = np.flatnonzero(self.leads[h >> _LEAD])
+            if len(hashes) and len(maybe):
+                found = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+                same = hashes[found] == h[maybe]
+                at, found = live[maybe[same]], found[same]
+                same = (codes[at[:, None] + np.arange(k)] == texts[found]).all(1)
+                score[k - 1, at[same]], piece[k - 1, at[same]] = values[found[same]], ids[found[same]]
+        first = start + np.arange(len(units))  # a unit has one node more than characters
+        best, back = np.zeros(len(codes) + len(units)), np.zeros(len(codes) + len(units), np.int64)
+        longest = int(size[0])
+        for e in range(1, longest + 1):
+            n = int(np.searchsorted(-size, -e, side="right"))
+            b, c = first[:n], start[:n]
+            top, step = np.full(n, _NONE), np.zeros(n, np.int64)
+            for k in range(min(e, self.longest), 0, -1):
+                value = best[b + (e - k)] + score[k - 1, c + (e - k)]
+                step = np.where(value > top, k, step)
+                top = np.maximum(top, value)
+            best[b + e], back[b + e] = top, step
+        out, place, left = np.zeros((len(units), longest), np.uint32), np.full(len(units), longest), size.copy()
+        while (open_ := np.flatnonzero(left)).size:
+            step = back[first[open_] + left[open_]]
+            left[open_] -= step
+            place[open_] -= 1
+            out[open_, place[open_]] = piece[step - 1, start[open_] + left[open_]]
+        found = {u: row[a:].tobytes() for u, row, a in zip(units, out, place.tolist())}
+        self.known.update(found)
+        self.held += sum(map(len, found.values())) + sum(map(len, units)) * 2 + 250 * len(units)
+
+    def unit(self, text: str) -> bytes:
+        _, back = self.forward(text)
+        return self.path(text, back, len(text)).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids (native unsigned 32-bit) of prepared texts that are segmented at once."""
+        if self.held > REMEMBERED_BYTES:
+            self.known.clear()
+            self.held = 0
+        cut = [_UNIT.findall(t) for t in texts]
+        known = self.known
+        new = {u for units in cut for u in units if u not in known}
+        together = [u for u in new if len(u) <= SHORT and self.characters.issuperset(u)]
+        for i in range(0, len(together), BLOCK):
+            self.together(together[i : i + BLOCK])
+        rest = {u: self.unit(u) for u in new.difference(together)}
+        return [b"".join([known[u] if u in known else rest[u] for u in units]) for units in cut]
 
     def encode(self, text: str) -> array:
-        """The ids of a prepared text that is segmented at once."""
-        out = array("I")
-        unit = self.unit
-        for u in _UNIT.findall(text):
-            out += unit(u)[0]
-        return out
+        """The ids of one prepared text."""
+        return array("I", self.encode_all([text])[0])
 
-    def decode(self, ids: array) -> str:
-        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+    def decode(self, ids: np.ndarray | array | list[int]) -> str:
+        ids = np.asarray(ids, np.int64)
+        raw = b"".join([b"".join([self.raw[i] for i in ids[a : a + IDS].tolist()]) for a in range(0, len(ids), IDS)])
+        return raw.decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
     # -- chunks: ``text`` begins ``left`` characters before the chunk; state i is a node i characters before a boundary
 
     def matrix(self, text: str, left: int) -> np.ndarray:
-        """Best scores from each entering to each leaving state."""
+        """Best scores from each entering to each leaving state, less what all paths share."""
         size, end = self.longest, len(text)
         out = np.full((size, size), _NONE)
-        cuts = [m.start() for m in _UNIT.finditer(text) if m.start() > left and self._forced(text, m.start())]
+        cuts = self._cuts(text, left, end)
         if cuts:
             # every path passes the forced nodes, so the matrix is a sum of a column and a row
-            first, last = cuts[0], cuts[-1]
-            to_first = self._backward(text, left + 1, first)
-            middle = sum(self.unit(u)[1] for u in _UNIT.findall(text[first:last]))
-            tail, _ = self.forward(text[last:])
-            head = np.array([max((self.arc(text, left - i, e) + to_first[e - left - 1] for e in range(left + 1, min(first, left - i + size) + 1)), default=_NONE) if i <= left else _NONE for i in range(size)])
-            out[:] = head[:, None] + middle + np.array([tail[end - last - j] if end - j >= last else _NONE for j in range(size)])[None, :]
-            return out
-        for i in range(min(size, left + 1)):
-            best, _ = self._crossing(text, left, i)
-            out[i] = [best[end - j] if end - j > left else _NONE for j in range(size)]
+            head = self._crossings(text[: cuts[0]], left)[-1]
+            tail, _ = self.forward(text[cuts[-1] :])
+            return head[:, None] + np.array([tail[end - cuts[-1] - j] if end - j >= cuts[-1] else _NONE for j in range(size)])[None, :]
+        best = self._crossings(text, left)
+        for j in range(min(size, end - left)):
+            out[:, j] = best[end - j - left]
         return out
 
+    def entries(self, text: str, left: int, ahead: np.ndarray) -> list[int]:
+        """For each leaving state, the state that the path to it enters in, given the best scores of the entering states.
+
+        A step taken is the longest of the best ones, as in ``forward``.
+        """
+        size = self.longest
+        cuts = self._cuts(text, left, len(text))
+        body = text[: cuts[0]] if cuts else text
+        best = (self._crossings(body, left) + ahead[None, :]).max(1)
+        nodes = [len(body)] * size if cuts else [len(body) - j for j in range(size)]
+        found: dict[int, int] = {}
+        for node in nodes:
+            at = node
+            while at > left and at not in found:
+                for a in range(max(0, at - size), at):
+                    base = ahead[left - a] if a <= left and left - a < size else best[a - left] if a > left else _NONE
+                    if base > _NONE and base + self.arc(body, a, at) == best[at - left]:
+                        at = a
+                        break
+                else:
+                    break  # no path leaves in this state
+            found[node] = found[at] if at in found else max(0, left - at) if at <= left else 0
+        return [found[node] for node in nodes]
+
+    def _cuts(self, text: str, left: int, end: int) -> list[int]:
+        return [m.start() for m in _UNIT.finditer(text) if left < m.start() < end and self._forced(text, m.start())]
+
     @staticmethod
     def _forced(text: str, at: int) -> bool:
         return text[at] == "\n" or text[at - 1] == "\n" or (text[at] == SPACE and text[at - 1] != SPACE)
 
-    def _backward(self, text: str, start: int, end: int) -> list[float]:
-        """Best scores from each position ``start``..``end`` to ``end``."""
-        best = [_NONE] * (end - start) + [0.0]
-        for a in range(end - 1, start - 1, -1):
-            best[a - start] = max(self.arc(text, a, e) + best[e - start] for e in range(a + 1, min(end, a + self.longest) + 1))
+    def _crossings(self, text: str, left: int) -> np.ndarray:
+        """Best scores from each entering state (columns) to each position after ``left`` (rows)."""
+        size, get = self.longest, self.score.get
+        best = np.full((len(text) + 1 - left, size), _NONE)
+        for end in range(left + 1, len(text) + 1):
+            row = best[end - left]
+            for a in range(max(0, end - size), end):
+                s = get(text[a:end])
+                if s is None:
+                    if end - a > 1:
+                        continue
+                    s = self.unknown
+                if a > left:
+                    np.maximum(row, best[a - left] + s, out=row)
+                elif left - a < size:
+                    row[left - a] = max(row[left - a], s)
         return best
 
     def _crossing(self, text: str, left: int, i: int) -> tuple[list[float], list[int]]:
@@ -163,7 +278,7 @@ class Pieces:
     def backtrace(self, text: str, left: int, enter: int, leave: int) -> array:
         """The ids of the best path from one state to the other."""
         start, end = left - enter, len(text) - leave
-        cuts = [m.start() for m in _UNIT.finditer(text) if left < m.start() < end and self._forced(text, m.start())]
+        cuts = self._cuts(text, left, end)
         if not cuts:
             _, back = self._crossing(text, left, enter)
             return self.path(text, back, end, start)
@@ -187,13 +302,23 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return [matrices[0], *(pairs[i // 2] if i % 2 else product(pairs[i // 2 - 1], matrices[i]) for i in range(1, len(matrices)))]
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each boundary, the start and the end included, of the best path."""
-    ahead = [m[0] for m in scan(matrices)]
+def entering(matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """The best score of each state before each chunk."""
+    start = np.full(len(matrices[0]), _NONE)
+    start[0] = 0.0
+    return [start, *(m[0] for m in scan(matrices)[:-1])]
+
+
+def boundary_states(tables: list[list[int]]) -> list[int]:
+    """The state at each boundary, the start and the end included, from what ``Pieces.entries`` tells of each chunk."""
     states = [0]
-    for k in range(len(matrices) - 1, 0, -1):
-        states.append(int((ahead[k - 1] + matrices[k][:, states[-1]]).argmax()))
-    return [0, *states[::-1]]
+    for table in reversed(tables):
+        states.append(int(table[states[-1]]))
+    return states[::-1]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
 _MODELS: dict[str, Pieces] = {}
@@ -220,9 +345,9 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
         m = model(public_tokenizers.path(vocabulary))
         for batch in batches:
             for part in pieces(batch, "text"):
-                ids = [np.array(m.encode(prepare(t)), np.int32) for t in part.column(1).to_pylist()]
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                ids = m.encode_all([prepare(t) for t in part.column(1).to_pylist()])
+                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), part.column(1)], ["doc_id", "ids", "text"])
 
     done = short.mapInArrow(at_once, "doc_id bigint, ids array<int>, text string")
@@ -256,10 +381,24 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
         group = group.sort_by("no")
         matrices = [np.frombuffer(x, np.float64) for x in group["matrix"].to_pylist()]
         size = int(len(matrices[0]) ** 0.5)
-        states = boundary_states([x.reshape(size, size) for x in matrices])
+        ahead = entering([x.reshape(size, size) for x in matrices])
+        return pa.table({"key": group["key"], "no": group["no"], "ahead": pa.array([x.tobytes() for x in ahead], pa.binary())})
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(public_tokenizers.path(vocabulary))
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            found = [m.entries(text, left, np.frombuffer(ahead, np.float64)) for _, _, left, text, ahead in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "no", "entries"])
+
+    def choose(group: pa.Table) -> pa.Table:
+        group = group.sort_by("no")
+        states = boundary_states(group["entries"].to_pylist())
         return pa.table({"key": group["key"], "no": group["no"], "enter": pa.array(states[:-1], pa.int64()), "leave": pa.array(states[1:], pa.int64())})
 
-    states = chunks.mapInArrow(measure, "key bigint, no bigint, matrix binary").groupBy("key").applyInArrow(combine, "key bigint, no bigint, enter bigint, leave bigint")
+    ahead = chunks.mapInArrow(measure, "key bigint, no bigint, matrix binary").groupBy("key").applyInArrow(combine, "key bigint, no bigint, ahead binary")
+    told = chunks.join(ahead, ["key", "no"]).select("key", "no", "left", "chunk", "ahead").mapInArrow(tell, "key bigint, no bigint, entries array<int>")
+    states = told.groupBy("key").applyInArrow(choose, "key bigint, no bigint, enter bigint, leave bigint")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(public_tokenizers.path(vocabulary))
@@ -290,6 +429,22 @@ def hash_key(text: str) -> int:
     return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column laid end to end and where each row's begin; a null is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.append(0, sizes))
+
+
+def _dealt(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch by rows so that each part has about ``IDS`` values in its list column ``at``, one row at least."""
+    _, offsets = _lists(batch.column(at))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + IDS, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``encoded`` (doc_id, ids and any other columns) plus ``decoded``."""
     schema = encoded.schema.simpleString()[len("struct<") : -1]
@@ -298,8 +453,10 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(public_tokenizers.path(vocabulary))
         for batch in batches:
-            texts = [m.decode(x) if x else "" for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for part in _dealt(batch, at):
+                ids, offsets = _lists(part.column(at))
+                texts = [m.decode(ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(work, f"{schema}, decoded string")
 
@@ -309,11 +466,11 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1)
-            flat, offsets = ids.flatten().to_numpy().astype("<u4").tobytes(), np.asarray(ids.offsets) - ids.offsets[0].as_py()
-            crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            same = [(a or "") == b for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+            for part in _dealt(batch, 1):
+                ids, offsets = _lists(part.column(1))
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                same = pc.equal(pc.fill_null(part.column(2), ""), part.column(3))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(crc, pa.int64()), same], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
     return both.mapInArrow(digest, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, round_trip boolean")
 

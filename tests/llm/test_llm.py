@@ -536,11 +536,16 @@ def test_chunked_scan_equals_one_pass():
             begins = list(range(0, len(body) - left - 1, size))
             parts = [body[max(0, a - left) : (a + size if a != begins[-1] else len(body))] for a in begins]
             lefts = [min(left, a) for a in begins]
-            states = pieces_scan.boundary_states([m.matrix(t, n) for t, n in zip(parts, lefts)])
+            ahead = pieces_scan.entering([m.matrix(t, n) for t, n in zip(parts, lefts)])
+            states = pieces_scan.boundary_states([m.entries(t, n, x) for t, n, x in zip(parts, lefts, ahead)])
             ids = [i for t, n, a, b in zip(parts, lefts, states, states[1:]) for i in m.backtrace(t, n, a, b)]
-            value = lambda ids: sum(m.score.get(m.texts[i], 0) for i in ids)
-            one = m.encode(body)
-            assert value(ids) == value(one) and m.decode(ids) == text
+            _, back = m.forward(body)
+            assert ids == list(m.path(body, back, len(body))) and m.decode(ids) == text
+        plain = [pieces_scan._UNIT.findall(body), []]
+        for unit in plain[0]:
+            _, back = m.forward(unit)
+            plain[1].extend(m.path(unit, back, len(unit)))
+        assert list(m.encode(body)) == plain[1]
     rng = np.random.default_rng(0)
     many = [rng.integers(-9, 0, (4, 4)).astype(float) for _ in range(13)]
     want = many[0]
