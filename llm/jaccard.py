@@ -7,8 +7,8 @@
 3. Prefixes: the shingles that stand first in the order (document count, then hash). Postings of prefix shingles meet by
    shingle; pairs pass the length and the positional filter, are made distinct, and are verified once: first the suffix
    filter on one split, then the whole intersection.
-4. A posting list is not turned into all its pairs. While lists are costly, rounds of stars (each node against the least
-   node of most of its lists) are verified and joined into components; then only pairs between a list's largest component
+4. A posting list is not turned into all its pairs. While lists are costly and rounds help, rounds of stars (each node
+   against pivots that are drawn anew from its longest lists) are verified and joined into components; then only pairs between a list's largest component
    and the rest are left. Pairs inside a component are linked already, so no class is lost.
 5. The last round compares those pairs inside the join by bitmaps before any row comes out: a shingle flips one of
    ``64 * WORDS_OF_BITS`` bits, so the bits in which two nodes differ are at most the shingles in which they differ. It is a
@@ -38,8 +38,10 @@ WORDS = 5
 LEAST = 75
 #: Stars go on while the last round would make more than so many pairs for each row of an open list.
 FEW = 4
-MAX_STARS = 2
-PIVOTS = 2
+#: In a round a node meets so many pivots in each of so many lists; rounds go on while one part in GAIN of the open components goes.
+PIVOTS = 8
+LISTS = 3
+GAIN = 20
 #: Length of a node's bitmap in 64-bit words; it must be a power of two.
 WORDS_OF_BITS = 16
 
@@ -106,10 +108,15 @@ def _bitmaps(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "keys").mapInArrow(work, "node bigint, shared bigint, " + ", ".join(f"{b} bigint" for b in bits))
 
 
+def _differ(x: str, y: str) -> F.Column:
+    """In how many bits two bitmaps differ."""
+    bits = [F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(WORDS_OF_BITS)]
+    return sum(bits[1:], bits[0])
+
+
 def _alike(x: str, y: str) -> F.Column:
     """Bitmap filter: twice the intersection is at most both shared sizes less the bits that differ."""
-    differ = sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(1, WORDS_OF_BITS)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
-    most = F.col(f"{x}.shared") + F.col(f"{y}.shared") - differ
+    most = F.col(f"{x}.shared") + F.col(f"{y}.shared") - _differ(x, y)
     return (100 + LEAST) * most >= 2 * LEAST * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
@@ -179,28 +186,29 @@ def similar(sets: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / LEAST)))
     post = materialize(_postings(nodes).withColumn("band", band))
 
+    marks = materialize(_bitmaps(nodes))
+
     comp = materialize(nodes.select("node", F.col("node").alias("comp")))
     tested = None
-    for _ in range(MAX_STARS):
+    round_ = 0
+    while True:
         mine = post.join(comp, "node")
         left, cost, rows = _open_lists(mine)
         if cost <= FEW * rows:
             break
-        # every node against the pivots that most of its open lists have: PIVOTS pairs for each node at most
-        bands = mine.groupBy("h", "band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("node", "comp")).alias("p")).where("c0 <> c1")
-        shared = mine.join(bands, ["h", "band"]).where("comp <> p.comp").groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
-        rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("k"), "pivot"))
-        stars = shared.withColumn("__n", rank).where(F.col("__n") <= PIVOTS)
-        stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        stars = _stars(mine.join(left.select("h", "all"), "h"), marks, round_)
         stars = materialize(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
         tested = stars if tested is None else tested.unionByName(stars)
         found = materialize(verify(stars, nodes))
-        if not found.limit(1).count():
-            break
+        before = mine.join(left.select("h"), "h", "left_semi").agg(F.countDistinct("comp")).first()[0]
         comp = _joined(comp, found)
+        merged = before - post.join(comp, "node").join(left.select("h"), "h", "left_semi").agg(F.countDistinct("comp")).first()[0]
+        round_ += 1
+        if GAIN * merged < before:
+            break
     mine = post.join(comp, "node")
     left, _, _ = _open_lists(mine)
-    rest = mine.join(left.select("h", "main"), "h").join(_bitmaps(nodes), "node")
+    rest = mine.join(left.select("h", "main"), "h").join(marks, "node")
     few = rest.where("comp <> main").alias("x")
     pairs = few.join(rest.alias("y"), F.col("x.h") == F.col("y.h")).where(F.col("x.comp") != F.col("y.comp")).where(_pair("x", "y") & _positional("x", "y") & _alike("x", "y"))
     pairs = _distinct_pairs(pairs, "x", "y")
@@ -209,6 +217,23 @@ def similar(sets: DataFrame) -> DataFrame:
     return _joined(comp, materialize(verify(pairs, nodes)))
 
 
+def _stars(rows: DataFrame, marks: DataFrame, round_: int) -> DataFrame:
+    """Pairs (a, b) of the nodes in open lists, each against pivots drawn anew from its longest lists, one a component.
+
+    A node has LISTS * PIVOTS pairs at most. Which of them may link is told by the bitmaps.
+    """
+    band = ["h", "band"]
+    drawn = F.row_number().over(W.partitionBy(*band).orderBy(F.xxhash64("node", F.lit(round_)), "node"))
+    pivots = rows.withColumn("__n", drawn).where(F.col("__n") <= PIVOTS).select(*band, "node", "n", "comp").join(marks, "node").alias("y")
+    longest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("all"), "h"))
+    seats = rows.withColumn("__n", longest).where(F.col("__n") <= LISTS).select(*band, "node", "n", "comp").join(marks, "node").alias("x")
+    near = seats.join(pivots, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")))
+    near = near.where(F.col("x.comp") != F.col("y.comp")).where(_pair("x", "y") & _alike("x", "y"))
+    best = near.select(F.col("x.node").alias("node"), F.col("y.comp").alias("other"), F.col("y.node").alias("pivot"), _differ("x", "y").alias("far"))
+    best = best.groupBy("node", "other").agg(F.min(F.struct("far", "pivot")).alias("p"))
+    return best.select(F.least("node", "p.pivot").alias("a"), F.greatest("node", "p.pivot").alias("b")).distinct()
+
+
 def _open_lists(mine: DataFrame) -> tuple[DataFrame, int, int]:
     """The lists that hold several components, with the largest; the pairs the last round would make of them; their rows."""
     by = mine.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k"))
