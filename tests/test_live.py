@@ -10,6 +10,7 @@ from hushframe.functions.spans import find_spans, span, splice
 from hushframe.operators.ordered import lookup
 from hushframe.operators.policy import policy
 from hushframe.plans.live import exchange_states
+from hushframe.plans import language
 from hushframe.plans.language import detect_language, fit_profiles
 from hushframe.plans.store import read_audit
 from hushframe.streaming import audit as sa
@@ -33,6 +34,29 @@ def test_language_ties_and_short_texts(spark):
     assert got == {1: "en", 2: None, 3: None, 4: "de"}
 
 
+def test_language_in_the_row_equals_the_join(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").withColumn("extra", F.lit(1))
+    odd = [(-1, None, None), (-2, "en", ""), (-3, None, "\U0001d4d0\U0001d4d1 \u00c0 " * 9), (-4, "de", "stra\u00dfe " * 70000)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id bigint, lang string, text string").withColumn("extra", F.lit(2)))
+    profiles = fit_profiles(docs)
+    plain = docs.select("lang", F.explode(language.trigrams(language.readable(F.col("text")))).alias("gram")).groupBy("lang", "gram").count()
+    share = plain.withColumn("total", F.expr("sum(count) OVER (PARTITION BY lang)")).select("lang", "gram", F.expr(f"count * {language.UNIT} div total"))
+    assert share.exceptAll(profiles).isEmpty() and profiles.exceptAll(share).isEmpty()
+    row = detect_language(docs, profiles, ["doc_id"])
+    assert "Exchange" not in row._jdf.queryExecution().executedPlan().toString()
+    in_row = {r.doc_id: r.language for r in row.collect()}
+    monkeypatch.setattr(language, "BROADCAST_ROWS", 10)
+    joined = {r.doc_id: r.language for r in detect_language(docs, profiles, ["doc_id"]).collect()}
+    assert in_row == joined and in_row[-1] is None and in_row[-2] is None and in_row[-4] == "de"
+
+
+def test_language_of_nothing(spark):
+    none = spark.createDataFrame([], "id bigint, lang string, text string")
+    assert fit_profiles(none).count() == 0 and detect_language(none, fit_profiles(none), ["id"]).count() == 0
+    rows = spark.createDataFrame([(1, "a" * 20)], "id bigint, text string")
+    assert [r.language for r in detect_language(rows, fit_profiles(none), ["id"]).collect()] == [None]
+
+
 def test_lookup_null_and_hot_keys(spark):
     table = spark.createDataFrame([(None, "x", 900), ("a", "y", 3), ("b", "z", 1)], "k string, v string, uses bigint")
     left = spark.createDataFrame([(1, None), (2, "a"), (3, "b"), (4, "c")], "id bigint, k string")
