@@ -11,6 +11,7 @@ from catalog.inputs import AUDIT_SQL, audit, counts_text, iso, iso_sql
 from catalog.registry import query, table
 from hushframe.plans import audit as q
 from hushframe.plans import exchanges as x
+from hushframe.plans import rollups as ru
 from hushframe.plans import store as st
 from hushframe.plans.audit import Audit
 from hushframe.plans.live import keep_texts
@@ -504,6 +505,52 @@ def expose_texts(spark, sf):
     return q.expose(audit(spark, sf).text, False).select("id", "original", F.md5("anonymized").alias("anonymized"), "redacted")
 
 
+def _rolled(spark, sf):
+    """Three batches, one of them without parts and one written twice, and a deleted row."""
+    path = _scratch(spark, "rolled")
+    whole = audit(spark, sf)
+    for batch in (0, 1, 1, 2):
+        own, child = F.col("id") % 3 == batch, F.col("interaction_id") % 3 == batch
+        some = Audit(whole.interaction.filter(own), whole.detection.filter(child), whole.text.filter(child))
+        st.append_audit(some, path, batch=f"b{batch}", rolled=batch < 2)
+    st.delete_interaction(spark, path, 7)
+    return ru.read_rollups(spark, path)
+
+
+_KEPT = f"WITH {AUDIT_SQL}, kept AS (SELECT * FROM inter WHERE id <> 7), found AS (SELECT * FROM det WHERE interaction_id <> 7)"
+
+
+@query("rolled_conversations", "AUD-12 SNK-06", f"{_KEPT} {CONV_SQL.replace('inter i', 'kept i').format(where='conversation_id IS NOT NULL')}")
+def rolled_conversations(spark, sf):
+    return _conv(ru.summarize_conversations(_rolled(spark, sf)))
+
+
+@query(
+    "rolled_dashboard",
+    "AUD-01 AUD-15 AUD-16 AUD-17 AUD-18 AUD-19",
+    f"""{_KEPT} SELECT 'summary' AS figure, '' AS field, '' AS value, (SELECT count(*) FROM kept) AS n, (SELECT sum(count) FROM found)::BIGINT AS total
+    UNION ALL SELECT 'day', '', strftime(created_at, '%Y-%m-%d'), count(*), coalesce(sum(entity_total), 0)::BIGINT FROM kept GROUP BY ALL
+    UNION ALL SELECT 'tokens', '', '', coalesce(sum(input_tokens), 0)::BIGINT, coalesce(sum(output_tokens), 0)::BIGINT FROM kept
+    UNION ALL SELECT 'type', '', entity_type, sum(count)::BIGINT, 0 FROM found GROUP BY ALL
+    """
+    + " ".join(f"UNION ALL SELECT 'group', '{c}', {c}, count(*), 0 FROM kept WHERE {c} IS NOT NULL GROUP BY ALL" for c in ("source", "wire_format", "policy", "model"))
+    + " ".join(f" UNION ALL SELECT DISTINCT 'value', '{k}', {c}, 0, 0 FROM kept WHERE length({c}) > 0" for k, c in q.FACETS.items())
+    + " UNION ALL SELECT DISTINCT 'value', 'entity_types', entity_type, 0, 0 FROM found WHERE length(entity_type) > 0",
+)
+def rolled_dashboard(spark, sf):
+    r = _rolled(spark, sf)
+    none, zero = F.lit(""), F.lit(0).cast("bigint")
+    figures = [
+        ru.summary(r).select(F.lit("summary"), none, none, "interactions", "entities_total"),
+        ru.daily_series(r).select(F.lit("day"), none, "date", "interactions", "entities"),
+        ru.token_totals(r).select(F.lit("tokens"), none, none, "input", "output"),
+        ru.ranked_totals(r).select(F.lit("type"), none, "entity_type", "total", zero),
+        ru.group_counts(r).select(F.lit("group"), "facet", "value", "n", zero),
+        ru.distinct_values(r).select(F.lit("value"), "field", "value", zero, zero),
+    ]
+    return reduce(lambda x, y: x.union(y), figures).toDF("figure", "field", "value", "n", "total")
+
+
 # --- rules over captured rows -----------------------------------------------
 
 

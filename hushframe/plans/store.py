@@ -88,14 +88,15 @@ def to_audit(records: DataFrame) -> Audit:
 LAYOUT = {"interaction": ["created_at", "id"], "detection": ["interaction_id", "id"], "interaction_text": ["interaction_id", "seq"]}
 
 
-def append_audit(a: Audit, path: str, batch: str | None = None, searchable: bool = False) -> Version:
+def append_audit(a: Audit, path: str, batch: str | None = None, searchable: bool = False, rolled: bool = False) -> Version:
     """Append three tables under ``path`` by one commit.
 
     All rows are written to new folders before one version names them, so a crash between the tables leaves none of the
     batch. A batch that is written again takes the place of its first writing and no other's, so a retried micro-batch
     leaves one copy. Rows are laid out by time (children by their interaction), so that file and row-group statistics
     prune date filters and look-ups without one small file per day. With ``searchable`` each file of texts gets a
-    signature, so that ``plans.search`` opens only the files that can hold a match.
+    signature, so that ``plans.search`` opens only the files that can hold a match. With ``rolled`` each folder gets its
+    partial aggregates, so that ``plans.rollups`` reads these and not the rows.
     """
     batch = batch or uuid.uuid4().hex
     frames = {"interaction": a.interaction, "detection": a.detection, "interaction_text": a.text}
@@ -103,6 +104,10 @@ def append_audit(a: Audit, path: str, batch: str | None = None, searchable: bool
     spark = a.interaction.sparkSession
     if searchable:
         folders[SIGNATURES] = _signed(spark, path, folders["interaction_text"])
+    if rolled:
+        from hushframe.plans.rollups import PARTS, roll
+
+        folders |= {name: roll(spark, path, name, folders[part.table]) for name, part in PARTS.items()}
     return change(spark, path, lambda now: {**now.batches, batch: folders})
 
 
@@ -148,7 +153,10 @@ def delete_interaction(spark: SparkSession, path: str, interaction_id: int) -> b
     """Delete one interaction and its children from the tables under ``path``; says if it was there.
 
     Folders that hold it are written again as new ones, and one version puts them in the old ones' place in all tables.
+    Signatures and partial aggregates of these folders are made anew.
     """
+    from hushframe.plans.rollups import PARTS, roll
+
     existed = False
 
     def step(now: Version) -> Batches | None:
@@ -169,6 +177,9 @@ def delete_interaction(spark: SparkSession, path: str, interaction_id: int) -> b
         # rewritten texts are signed if they were; a signature has its folder's name
         for folder in set(now.folders(SIGNATURES)) & {f for t, f in instead if t == "interaction_text"}:
             instead[SIGNATURES, folder] = _signed(spark, path, instead["interaction_text", folder])
+        for part in PARTS:
+            for folder in set(now.folders(part)) & {f for t, f in instead if t == PARTS[part].table}:
+                instead[part, folder] = roll(spark, path, part, instead[PARTS[part].table, folder])
         return {b: {t: [x for f in folders for x in instead.get((t, f), [f])] for t, folders in tables.items()} for b, tables in now.batches.items()}
 
     change(spark, path, step)

@@ -23,19 +23,21 @@ def start_request_audit(
     mode: str = "pseudonymize",
     save: str = "anonymized",
     profiles: DataFrame | None = None,
+    rolled: bool = False,
     **trigger,
 ):
     """Judge requests as they arrive and append them. No state: a request carries its history.
 
     Folders are named by micro-batch, so a retried batch replaces itself. With
-    ``profiles`` (of ``fit_profiles``) a row gets the language of its new texts.
+    ``profiles`` (of ``fit_profiles``) a row gets the language of its new texts;
+    ``rolled`` keeps the dashboard figures up to date with every micro-batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         records = judge_requests(batch, detect, action, mode, save)
         if profiles is not None:
             records = with_language(records, profiles)
-        append_audit(to_audit(records), path, batch=f"requests-{batch_id}")
+        append_audit(to_audit(records), path, batch=f"requests-{batch_id}", rolled=rolled)
 
     return (
         requests.writeStream.foreachBatch(write)
