@@ -201,8 +201,7 @@ def similar(sets: DataFrame) -> DataFrame:
         tested = stars if tested is None else tested.unionByName(stars)
         found = materialize(verify(stars, nodes))
         before = mine.join(left.select("h"), "h", "left_semi").agg(F.countDistinct("comp")).first()[0]
-        comp = _joined(comp, found)
-        merged = before - post.join(comp, "node").join(left.select("h"), "h", "left_semi").agg(F.countDistinct("comp")).first()[0]
+        comp, merged = _joined(comp, found)
         round_ += 1
         if GAIN * merged < before:
             break
@@ -214,7 +213,7 @@ def similar(sets: DataFrame) -> DataFrame:
     pairs = _distinct_pairs(pairs, "x", "y")
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    return _joined(comp, materialize(verify(pairs, nodes)))
+    return _joined(comp, materialize(verify(pairs, nodes)))[0]
 
 
 def _stars(rows: DataFrame, marks: DataFrame, round_: int) -> DataFrame:
@@ -243,12 +242,13 @@ def _open_lists(mine: DataFrame) -> tuple[DataFrame, int, int]:
     return left, cost or 0, rows or 0
 
 
-def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, comp) after the components that ``links`` connect are one."""
+def _joined(comp: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """(node, comp) after the components that ``links`` connect are one, and how many components went."""
     side = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
     edges = links.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     renamed = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
-    return materialize(comp.join(renamed, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")))
+    gone = renamed.where("comp <> new").count()
+    return materialize(comp.join(renamed, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))), gone
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
